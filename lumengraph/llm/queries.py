@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, sharding
+from . import chat, decontaminate, packing, secrets, sharding
 from .common import table
 
 
@@ -60,3 +60,39 @@ ORACLE_SQL = {
             sum(length(body) + 14)::bigint as formatted_chars
         from shown group by conv_id""",
 }
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return out.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES |= {
+    "op8_secret_scan": op8_secret_scan,
+    "op10_decontamination": op10_decontamination,
+}
+
+ORACLE_SQL |= {
+    "op10_decontamination": r"""
+        with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        bw as (select distinct item_id, least(len(w), 10) as k, list_slice(w, i, i + least(len(w), 10) - 1) as win
+            from (select item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from b where len(w) > 0)),
+        dw as (select rid, k, i, list_slice(w, i, i + k - 1) as win
+            from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from bw) where len(w) >= k)),
+        hits as (select dw.rid, bw.item_id, dw.i, dw.k from dw join bw on dw.k = bw.k and dw.win = bw.win),
+        spots as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + k)) as p from hits) group by rid),
+        its as (select rid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items from (select distinct rid, item_id from hits) group by rid)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+        from d left join spots using (rid) left join its using (rid)""",
+}
