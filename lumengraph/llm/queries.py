@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, secrets, sharding
+from . import chat, decontaminate, licenses, packing, rules, secrets, sharding
 from .common import table
 
 
@@ -96,3 +96,32 @@ ORACLE_SQL |= {
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
         from d left join spots using (rid) left join its using (rid)""",
 }
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.match_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_matches", "license", "dice")
+
+
+def _license_sql() -> str:
+    quote = lambda x: "'" + x + "'"
+    known = ", ".join(f"({quote(name)}, [{', '.join(map(quote, grams))}], {n})" for name, grams, n in ((name, *licenses.bigrams_of(text)) for name, text in licenses.TEMPLATES))
+    return rf"""
+        with t(license, grams, n) as (values {known}),
+        d as (select row_number() over () as rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+        s as (select rid, unnest(case when contains(text, chr(10)) then list_append(string_split(text, chr(10)), text) else [text] end) as seg from d),
+        w as (select row_number() over () as sid, rid, regexp_extract_all(seg, '[a-z0-9]+') as words from s),
+        b as (select sid, rid, len(words) as n, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) as pairs from w where len(words) between 2 and 80),
+        m as (select sid, rid, license, 2.0::double * len(list_intersect(pairs, grams)) / (len(pairs) + len(grams)) as dice
+            from b join t on b.n - 1 between (t.n - 1) * (0.8 / 1.2) - 1e-9 and (t.n - 1) * 1.5 + 1e-9),
+        per as (select sid, rid, min({{'minus': -dice, 'license': license}}) as best from m where dice >= 0.8::double group by sid, rid),
+        doc as (select rid, count(*) as n, min(best) as best from per group by rid)
+        select doc_id, coalesce(n, 0)::bigint as n_matches, best.license as license, round(-best.minus, 6) as dice from d left join doc using (rid)"""
+
+
+QUERIES |= {"op4_quality_rules": op4_quality_rules, "op9_license_scan": op9_license_scan}
+ORACLE_SQL |= {"op9_license_scan": _license_sql()}
