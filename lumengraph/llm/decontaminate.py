@@ -30,19 +30,34 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words in a text whose capitals still stand; every other character belongs to a word.
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of the test side (at most 2 * width short words each) up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 
 
+def split_words(text: Column) -> Column:
+    """The words with their capitals; the first and the last element may be empty."""
+    return F.split(F.coalesce(text, F.lit("")), SEPARATOR)
+
+
+def n_words(words: Column) -> Column:
+    return F.size(words) - (F.get(words, F.lit(0)) == "").cast("int") - ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+
+
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+    """The words with A-Z in lower case."""
+    return F.transform(F.filter(split_words(text), lambda w: w != ""), lower_ascii)
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index: ``term, doc_id, pos, words`` with the document's position list."""
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), terms(F.col(text_col)).alias("words"))
-    return keyed.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term"))
+    """The positional index: ``term, doc_id, text_key, pos, words`` with the document's position list.
+
+    ``term`` is lower-cased beyond A-Z, so that a list may hold a few postings too
+    many, never too few; matches are decided by the words themselves.
+    """
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), split_words(F.col(text_col)).alias("words"))
+    return keyed.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "word")).withColumn("term", F.lower("word")).drop("word")
 
 
 def _sized(small: DataFrame, rows: int) -> DataFrame:
@@ -53,7 +68,7 @@ def _test_terms(items: DataFrame, width: int, id_col: str, text_col: str) -> Dat
     """``item_id, item_key, item_words, need, ipos, term``; equal texts under one id are one item."""
     rows = items.select(F.col(id_col).alias("item_id"), terms(F.col(text_col)).alias("item_words")).where(F.size("item_words") > 0).distinct()
     rows = rows.withColumn("need", F.least(F.size("item_words"), F.lit(width))).withColumn("item_key", F.xxhash64("item_id", "item_words"))
-    return rows.select("*", F.posexplode("item_words").alias("ipos", "term"))
+    return rows.select("*", F.posexplode("item_words").alias("ipos", "word")).withColumn("term", F.lower("word")).drop("word")
 
 
 def rarest_terms(index: DataFrame, tested: DataFrame, n_terms: int) -> DataFrame:
@@ -85,15 +100,19 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: s
     rare = rarest_terms(index, tested, n_terms)
     hits = index.join(_sized(rare, n_terms), "term")
 
+    # cut out of the position list in the scan, so that no row carries a whole text
+    first = F.greatest(F.col("pos") - F.col("need") + 1, F.lit(0))
+    hits = hits.select("doc_id", "text_key", "item_id", "need", "around", "here", "pos", (F.col("pos") - first).alias("place"), F.slice("words", first + 1, F.col("pos") - first + F.col("need")).alias("found"))
+
     def run(step: int) -> Column:
         """How many words agree in a row from the term in the given direction, up to need - 1."""
-        agree = lambda k: F.get("words", F.col("pos") + k * step) == F.get("around", F.col("here") + k * step)
-        bad = F.filter(F.sequence(F.lit(1), F.greatest(F.col("need") - 1, F.lit(1))), lambda k: ~F.coalesce(agree(k), F.lit(False)))
-        return F.coalesce(F.get(bad, F.lit(0)), F.greatest(F.col("need"), F.lit(2))) - 1
+        agree = lambda k: lower_ascii(F.get("found", F.col("place") + k * step)) == F.get("around", F.col("here") + k * step)
+        bad = F.filter(F.sequence(F.lit(1), F.col("need")), lambda k: (k == F.col("need")) | ~F.coalesce(agree(k), F.lit(False)))
+        return F.get(bad, F.lit(0)) - 1
 
-    # a window's words next to the term must agree on one side at least; this spares most candidates the full look-up
-    near = (F.col("need") == 1) | (F.get("words", F.col("pos") + 1) == F.get("around", F.col("here") + 1)) | (F.get("words", F.col("pos") - 1) == F.get("around", F.col("here") - 1))
-    runs = hits.where(near).withColumn("right", F.when(F.col("need") == 1, 0).otherwise(run(1))).withColumn("left", F.when(F.col("need") == 1, 0).otherwise(run(-1)))
+    same = lower_ascii(F.get("found", F.col("place"))) == F.get("around", F.col("here"))
+    # a generator: filters on what it gives stay above it and are not worked out twice
+    runs = hits.select("doc_id", "text_key", "item_id", "need", "pos", F.inline(F.when(same, F.array(F.struct(run(-1).alias("left"), run(1).alias("right"))))))
     runs = runs.where(F.col("left") + F.col("right") + 1 >= F.col("need"))
     return runs.select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
 
@@ -121,7 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     found = found.withColumn("fresh", F.greatest(F.col("last") - F.greatest(F.col("first") - 1, seen), F.lit(0)))
     found = found.groupBy("doc_id", "text_key").agg(F.sum("fresh").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     found = found.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_key", "hit_key")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.size(terms(F.col(text_col))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), n_words(split_words(F.col(text_col))).cast("long").alias("n_words"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
     none = F.array().cast("array<string>")
     return joined.select(
