@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, packing, rules, secrets, sharding
+from . import chat, decontaminate, licenses, neardup, packing, rules, secrets, sharding
 from .common import table
 
 
@@ -125,3 +125,10 @@ def _license_sql() -> str:
 
 QUERIES |= {"op4_quality_rules": op4_quality_rules, "op9_license_scan": op9_license_scan}
 ORACLE_SQL |= {"op9_license_scan": _license_sql()}
+
+
+def op2_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("text_key")
+
+
+QUERIES |= {"op2_minmax_neardup": op2_minmax_neardup}
