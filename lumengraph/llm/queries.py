@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, neardup, packing, rules, secrets, sharding
+from . import chat, classifier, decontaminate, licenses, neardup, packing, rules, secrets, sharding
 from .common import table
 
 
@@ -132,3 +132,14 @@ def op2_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_minmax_neardup": op2_minmax_neardup}
+
+
+def op1_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    scored = classifier.score(docs, model)
+    held = F.coalesce(classifier.fold(F.col("doc_id")) == 0, F.lit(True))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES |= {"op1_quality_attention": op1_quality_attention}
