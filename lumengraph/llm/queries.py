@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, licenses, neardup, packing, rules, secrets, sharding
+from . import chat, classifier, decontaminate, licenses, neardup, packing, rules, secrets, sharding, substrings
 from .common import table
 
 
@@ -143,3 +143,10 @@ def op1_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_quality_attention": op1_quality_attention}
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op3_suffix_dedup": op3_suffix_dedup}
