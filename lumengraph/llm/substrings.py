@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 LENGTH = 100
 QGRAM = 32
@@ -172,8 +172,8 @@ def _verdicts(ask: bool):
 
         def flush():
             nonlocal held, n_held, hot
-            if held and (n_held > 1 or hot):
-                yield frame(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), 3 if hot or n_held > HOT else 2)
+            if n_held > 1:
+                yield frame(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), 2)
             held, n_held, hot = [], 0, False
 
         for b in batches:
@@ -197,14 +197,22 @@ def _verdicts(ask: bool):
             if not ask:
                 continue
             firsts = np.flatnonzero(new)
-            for part in np.split(firsts, np.flatnonzero(new_bucket[firsts])) if len(firsts) else ():
-                if not len(part):
-                    continue
+            if not len(firsts):
+                continue
+            # the first group may go on from the batch before, the last into the next; those between are whole
+            group = np.cumsum(new_bucket[firsts])
+            sizes = np.bincount(group)
+            whole = (group > group[0]) & (group < group[-1])
+            for part, state in ((whole & (sizes[group] > 1) & (sizes[group] <= HOT), 2), (whole & (sizes[group] > HOT), 3)):
+                if part.any():
+                    yield frame(doc[firsts[part]], place[firsts[part]], state)
+            for at in dict.fromkeys((group[0], group[-1])):
+                part = firsts[group == at]
                 if new_bucket[part[0]]:
                     yield from flush()
                 held.append((doc[part], place[part]))
                 n_held += len(part)
-                if n_held > HOT:
+                if n_held > HOT or hot:
                     yield frame(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), 3)
                     held, n_held, hot = [], 0, True
         yield from flush()
@@ -349,13 +357,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verdict = "doc long, sub long, start long, count long, off long, state int"
     found = source.select("doc", "sub", "text").mapInPandas(_scan_runs, row)
     # equal documents give equal rows; they stay and get the same verdict
-    found = cut(found.repartition("bucket").sortWithinPartitions(*order).mapInPandas(_verdicts(True), verdict))
+    found = stored(found.repartition("bucket").sortWithinPartitions(*order).mapInPandas(_verdicts(True), verdict))
 
     # texts are shuffled by document once: both joins below read the same exchange
     asked = lambda state: found.where(F.col("state") == state).groupBy("doc", "sub").agg(F.collect_set(F.struct("start", "count", "off")).alias("asks"))
     blocks = source.join(asked(2), ["doc", "sub"]).select("doc", "sub", "text", "asks").mapInPandas(_blocks, "core binary, doc long, sub long, start long, body binary")
     gone = "doc long, sub long, start long, count long"
-    sorted_ = blocks.distinct().repartition("core").sortWithinPartitions("core", "doc", "sub", "start").mapInPandas(_settle_blocks, gone)
+    sorted_ = blocks.repartition("core").sortWithinPartitions("core", "doc", "sub", "start").mapInPandas(_settle_blocks, gone)
     hot = source.join(asked(3), ["doc", "sub"]).select("doc", "sub", "text", "asks").mapInPandas(_hot_windows, row)
     hot = hot.repartition("bucket").sortWithinPartitions(*order).mapInPandas(_verdicts(False), verdict)
     names = ["doc", "sub", "start", "count"]
