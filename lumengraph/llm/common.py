@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and cuts the lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as a Parquet table in the checkpoint folder: what loops read again and again.
+
+    A checkpoint keeps the constraints that the optimiser has derived, and in a
+    loop those multiply from round to round; a table read back has none, and its
+    size is known to the planner.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

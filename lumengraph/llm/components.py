@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,20 +16,20 @@ def components(edges: DataFrame) -> DataFrame:
     the edges; edges inside a component drop out.  Components at least halve in
     number each round.  Nothing is collected but whether edges are left.
     """
-    labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node")))
-    left = cut(edges.where("a <> b").distinct())
+    labels = stored(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node")))
+    left = stored(edges.where("a <> b").distinct())
     while not left.isEmpty():
         both = left.select("a", "b").union(left.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("comp"), F.least("a", "b").alias("parent"))
-        parent = cut(parent)
+        parent = stored(parent)
         while True:  # pointer jumping; depths halve
             above = parent.select(F.col("comp").alias("parent"), F.col("parent").alias("top"))
-            jumped = cut(parent.join(above, "parent").select("comp", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")))
+            jumped = stored(parent.join(above, "parent").select("comp", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")))
             moved = not jumped.where("moved").isEmpty()
             parent = jumped.drop("moved")
             if not moved:
                 break
-        labels = cut(labels.join(parent, "comp", "left").select("node", F.coalesce("parent", "comp").alias("comp")))
+        labels = stored(labels.join(parent, "comp", "left").select("node", F.coalesce("parent", "comp").alias("comp")))
         to = lambda c: parent.select(F.col("comp").alias(c), F.col("parent").alias(f"{c}2"))
-        left = cut(left.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+        left = stored(left.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
     return labels

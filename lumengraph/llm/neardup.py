@@ -8,12 +8,14 @@ the start, so that groups of exact copies count once in everything that follows.
 
 Links are confirmed on the full sets.  In a bucket, members are compared with the
 bucket's first class; those that it links become one component.  Buckets whose
-members all lie in one component are done.  In the others, members outside the
-first one's component take their turn as centres, a bounded number in each round, until
-no two members of different components are left uncompared.  The Jaccard distance
-is a metric, so that two members whose distances from the first one differ by more
-than the threshold allows can't be linked and are not compared.  A bucket of n
-copies costs n comparisons, not n * n, and no candidate is dropped.
+members all lie in one component are done.  In the others, what is left are members
+outside the first one's component.  They are compared with that component's most
+linked sets, which takes in most that belong there.  The rest are compared exactly:
+sets that share a percentage of their union share one of their rarest shingles (as
+many as the sets' sizes leave room to differ), so an index of the rarest shingles of
+the open buckets' members gives all possible partners, whether they share a bucket
+or not.  A bucket of n copies costs n comparisons, not n * n, and no candidate is
+dropped.
 
 Defined results: words are runs of anything but space and \\t..\\r, A-Z in lower
 case; null, empty and wordless texts have an empty set and link with nothing;
@@ -31,12 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 from .components import components
 from .shingles import mix, shingle_sets
 
-#: Members of a bucket that take their turn as centres in one round.
-CENTRES = 8
+#: Sets of a component that a member outside it is compared with before the exact search.
+HUBS = 32
 
 
 def signature(shingles: np.ndarray, permutations: int) -> np.ndarray:
@@ -93,11 +95,45 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, shared, total`` of distinct pairs of classes, from their full sets."""
     of = lambda c, as_: sets.select(F.col("key").alias(c), F.col("shingles").alias(as_))
     joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-    return cut(joined.mapInPandas(_compare, "a binary, b binary, shared long, total long"))
+    return stored(joined.mapInPandas(_compare, "a binary, b binary, shared long, total long"))
+
+
+def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bucket, key, comp, home`` of the buckets with members outside the component of their first class (``home``)."""
+    named = members.join(labels.select(F.col("node").alias("key"), F.col("comp").alias("key_comp")), "key", "left").join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("home")), "centre", "left")
+    named = stored(named.select("bucket", "key", F.coalesce("key_comp", "key").alias("comp"), F.coalesce("home", "centre").alias("home")))
+    return named.join(named.where("comp <> home").select("bucket").distinct(), "bucket", "left_semi")
+
+
+def _possible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``members`` (``key, comp, size, away, smallest``) in different components, one of them away from home, that may be linked.
+
+    Shingles are ordered by how many members hold them.  Sets of m and n shingles
+    that are linked share at least t = percent / (100 + percent) * (m + n), and so
+    one of the first m - t + 1 of the one and the first n - t + 1 of the other;
+    n is at least percent / 100 * m, and at least ``smallest`` for those that share
+    a bucket with the first.
+    """
+    tokens = members.join(sets, "key").select(*members.columns, F.explode("shingles").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("held"))
+    partner = F.greatest(F.ceil(F.col("size") * percent / 100), F.col("smallest"))
+    first = F.col("size") - F.ceil((F.col("size") + partner) * percent / (100 + percent) - 1e-9) + 1
+    place = F.row_number().over(Window.partitionBy("key").orderBy("held", "token"))
+    rare = stored(tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= first) & (F.col("held") > 1)).select("key", "comp", "away", "size", "token", "place"))
+    x = rare.where("away").select("token", F.col("key").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("m"), F.col("place").alias("i"))
+    y = rare.select("token", F.col("key").alias("y"), F.col("comp").alias("y_comp"), F.col("size").alias("n"), F.col("place").alias("j"))
+    # what two sets can share from their first common shingle on
+    most = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) + 1
+    pairs = x.join(y, "token").where((F.col("x_comp") != F.col("y_comp")))
+    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("m") + F.col("n")).alias("total")).agg(F.max(most).alias("most"))
+    return pairs.where(F.col("most") * (100 + percent) >= F.col("total") * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 40, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, text_key, n_shingles, component_id, kept``.
+    """One row per document: ``doc_id, text_key, n_shingles, component_id, component_key, kept``.
+
+    ``component_key`` names the component by one of its sets (null for an empty
+    set), where ids may be null or repeat.
 
     Two documents are linked when their sets share at least ``percent`` of their
     union.  With the default bands a link of exactly 0.8 is missed with a chance
@@ -106,56 +142,65 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    signed = cut(source.mapInPandas(_sign(width, permutations, rows), f"doc_id {id_type}, text_key long, key binary, n_shingles long, bands array<long>"))
+    signed = stored(source.mapInPandas(_sign(width, permutations, rows), f"doc_id {id_type}, text_key long, key binary, n_shingles long, bands array<long>"))
 
     # one class for each distinct set, known by the smallest of its documents
     classes = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
-    classes = cut(classes)
+    classes = stored(classes)
     bands = classes.select("key", F.explode("bands").alias("bucket"))
     firsts = bands.groupBy("bucket").agg(F.min("key").alias("centre"), F.max("key").alias("other")).where("centre <> other").drop("other")
-    members = cut(bands.join(firsts, "bucket"))
+    members = stored(bands.join(firsts, "bucket"))
 
     wanted = members.select("key").distinct().join(classes.select("key", "one"), "key")
     wanted = wanted.select("key", F.col("one.doc_id").alias("w_id"), F.col("one.text_key").alias("w_text"))
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_text"))).select("key", "text")
-    sets = cut(texts.mapInPandas(_sets(width), "key binary, shingles array<long>").dropDuplicates(["key"]))
+    sets = stored(texts.mapInPandas(_sets(width), "key binary, shingles array<long>").dropDuplicates(["key"]))
 
     linked = F.col("shared") * 100 >= F.col("total") * percent
-    reach = 1 - percent / 100 + 1e-9
     first = _verified(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), sets)
     edges = first.where(linked).select("a", "b")
     labels = components(edges)
 
-    # distance of each member from its bucket's first class
-    away = first.select(F.col("a").alias("centre"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("total")).alias("away"))
-    open_ = members.join(away, ["centre", "key"], "left").fillna(0.0, ["away"]).withColumn("done", F.col("key") == F.col("centre"))
-    while True:
-        comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
-        named = open_.drop("key_comp", "centre_comp").join(comp("key"), "key", "left").join(comp("centre"), "centre", "left")
-        named = named.withColumn("key_comp", F.coalesce("key_comp", "key")).withColumn("centre_comp", F.coalesce("centre_comp", "centre"))
-        waiting = (F.col("key_comp") != F.col("centre_comp")) & ~F.col("done")
-        # buckets in which a member outside the first one's component has not been a centre
-        busy = named.where(waiting).select("bucket").distinct()
-        open_ = cut(named.join(busy, "bucket", "left_semi"))
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        centres = cut(open_.where(waiting).withColumn("turn", turn).where(F.col("turn") <= CENTRES).select("bucket", F.col("key").alias("a"), F.col("key_comp").alias("a_comp"), F.col("away").alias("a_away")))
-        if centres.isEmpty():
-            break
-        rest = open_.select("bucket", F.col("key").alias("b"), F.col("key_comp").alias("b_comp"), "away", "centre")
-        near = (F.col("a_comp") != F.col("b_comp")) & (F.abs(F.col("a_away") - F.col("away")) <= reach) & (F.col("b") != F.col("centre"))
-        pairs = rest.join(centres, "bucket").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = _verified(pairs, sets).where(linked).select("a", "b")
-        if not fresh.isEmpty():
-            edges = edges.union(fresh)
-            labels = components(edges)
-        taken = centres.select("bucket", F.col("a").alias("key"), F.lit(True).alias("taken"))
-        open_ = cut(open_.join(taken, ["bucket", "key"], "left").withColumn("done", F.col("done") | F.coalesce("taken", F.lit(False))).drop("taken"))
+    outside = _outside(members, labels)
+    # the most linked sets of the component that a member may belong to
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+    rank = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("links"), "node"))
+    hubs = labels.join(ends, "node").withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.col("comp").alias("home"), F.col("node").alias("hub"))
+    tries = outside.where("comp <> home").select("key", "home").distinct().join(hubs, "home")
+    second = _verified(tries.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), sets).where(linked).select("a", "b")
+    edges = edges.union(second)
+    labels = components(edges)
+
+    outside = _outside(members, labels)
+    sizes = sets.select("key", F.size("shingles").alias("size"))
+    outside = outside.join(sizes, "key")
+    smallest = outside.groupBy("bucket").agg(F.min("size").alias("smallest"))
+    candidates = outside.join(smallest, "bucket").groupBy("key", "comp", "size").agg(F.max(F.col("comp") != F.col("home")).alias("away"), F.min("smallest").alias("smallest"))
+    third = _verified(_possible(candidates, sets, percent), sets).where(linked).select("a", "b")
+    if not third.isEmpty():
+        labels = components(edges.union(third))
 
     # smallest id of each component, then of each class in it
     placed = labels.select(F.col("node").alias("key"), "comp").join(classes.select("key", "low"), "key")
     lows = placed.groupBy("comp").agg(F.min("low").alias("comp_low"))
-    known = placed.join(lows, "comp").select("key", "comp_low")
-    known = classes.select("key", "low").join(known, "key", "left").select("key", F.coalesce("comp_low", "low").alias("component_id"))
+    known = placed.join(lows, "comp").select("key", "comp", "comp_low")
+    known = classes.select("key", "low").join(known, "key", "left").select("key", F.coalesce("comp", "key").alias("component_key"), F.coalesce("comp_low", "low").alias("component_id"))
     out = signed.select("doc_id", "text_key", "n_shingles", "key").join(known, "key", "left")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "component_id", "component_key", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs``, one row of each component: the smallest id (null last), then the smallest text key.
+
+    Texts without words all stay, but rows alike in id and text leave once.
+    """
+    found = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    chosen = found.where("component_key is not null").groupBy("component_key").agg(F.min(order).alias("one")).select("one.doc_id", "one.text_key")
+    chosen = chosen.union(found.where("component_key is null").select("doc_id", "text_key").distinct())
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    chosen = chosen.select(name("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.withColumn("_id", name(id_col)).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # the join has brought rows that are alike together already
+    return keyed.join(chosen, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
