@@ -201,3 +201,8 @@ def score(docs: DataFrame, model: AttentionModel | None, text_col: str = "text",
     rows = docs.select(*keep, F.col(text_col).alias("_passages"))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInPandas(_scorer(model), f"{schema}, score double")
+
+
+def keep_good(docs: DataFrame, model: AttentionModel | None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` whose score reaches ``min_score``."""
+    return score(docs, model, text_col, tuple(docs.columns)).where(F.col("score") >= min_score).drop("score")

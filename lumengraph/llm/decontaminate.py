@@ -84,7 +84,7 @@ def rarest_terms(index: DataFrame, tested: DataFrame, n_terms: int) -> DataFrame
     ahead = Window.partitionBy("item_key").orderBy("ipos")
     span = lambda k: F.min(F.struct("count", "ipos", "term")).over(ahead.rowsBetween(0, k - 1))
     widths = [r["need"] for r in tested.select("need").distinct().collect()]  # at most as many as the width
-    best = F.coalesce(*[F.when(F.col("need") == k, span(k)) for k in sorted(widths)]) if widths else F.lit(None)
+    best = F.coalesce(*[F.when(F.col("need") == k, span(k)) for k in sorted(widths or [1])])
     starts = counted.withColumn("best", best).where(F.col("ipos") <= F.size("item_words") - F.col("need")).where(F.col("best.count") > 0)
     first = F.greatest(F.col("best.ipos") - F.col("need") + 1, F.lit(0))
     return starts.select(
@@ -98,11 +98,13 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: s
     n_terms = tested.count()
     index = postings(docs, id_col, text_col)
     rare = rarest_terms(index, tested, n_terms)
-    hits = index.join(_sized(rare, n_terms), "term")
-
-    # cut out of the position list in the scan, so that no row carries a whole text
-    first = F.greatest(F.col("pos") - F.col("need") + 1, F.lit(0))
-    hits = hits.select("doc_id", "text_key", "item_id", "need", "around", "here", "pos", (F.col("pos") - first).alias("place"), F.slice("words", first + 1, F.col("pos") - first + F.col("need")).alias("found"))
+    # the words around a posting, so that no row carries a whole text beyond the scan
+    first = F.greatest(F.col("pos") - width + 1, F.lit(0))
+    around = lambda df: df.withColumn("found", F.slice("words", first + 1, 2 * width - 1)).withColumn("place", F.col("pos") - first).drop("words")
+    if n_terms <= BROADCAST_ROWS:
+        hits = around(index.join(F.broadcast(rare), "term"))  # cut out only for postings that meet a test term
+    else:
+        hits = around(index).join(rare, "term")
 
     def run(step: int) -> Column:
         """How many words agree in a row from the term in the given direction, up to need - 1."""
@@ -147,3 +149,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
         "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
         F.col("n_hit").isNotNull().alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` without an exact match; null and wordless texts stay."""
+    hit = phrase_matches(docs, items, width, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")).distinct()
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (key == F.col("_hit_key")), "left_anti")

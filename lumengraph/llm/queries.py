@@ -128,7 +128,7 @@ ORACLE_SQL |= {"op9_license_scan": _license_sql()}
 
 
 def op2_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("text_key")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("text_key", "component_key")
 
 
 QUERIES |= {"op2_minmax_neardup": op2_minmax_neardup}

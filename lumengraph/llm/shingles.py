@@ -70,7 +70,7 @@ def shingle_sets(texts: list[str | None], width: int = 2) -> Iterator[np.ndarray
     for part in blocks([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]):
         words, counts = word_hashes(part)
         joined = words.copy()
-        for k in range(1, width):
+        for k in range(1, min(width, len(words))):
             joined[: len(words) - k] = mix(joined[: len(words) - k] * np.uint64(0xD1342543DE82EF95) + words[k:])
         at = 0
         for n in counts:
