@@ -103,25 +103,24 @@ def _java_fields(scan: Scan, me: str, kind: str, head: str, body, line: int) ->
             scan.refs(me, m["type"], "field", scan.line(at))
 
 
-def _java_pre(scan: Scan) -> None:
-    """Annotations of functions count as references when the function is known."""
-
-
-def _java_method(scan_function):
-    return scan_function
-
-
 _JAVA_FUNCTION = P(rf"^[ \t]*(?P<marks>(?:@\w+(?:\([^)]*\))?\s*)*){_MODS}(?:<[^>(]*>\s*)?(?:(?P<result>[A-Za-z_][\w.]*(?:<[^;=(){{}}]*>)?(?:\[\])*)\s+)?(?P<name>[A-Za-z_]\w*)\s*\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:throws\s+[\w., ]+)?(?:\{{|;|$)")
 
 
 class _JavaScan(Scan):
+    enums: frozenset = frozenset()
+
+    def type(self, kind, m, at):
+        super().type(kind, m, at)
+        if m["kind"] == "enum":
+            self.enums |= {m["name"]}
+
     def signature(self, me, m, line):
         super().signature(me, m, line)
         for name in re.findall(r"@(\w+)", m["marks"] or ""):
             self.out.link(me, self.out.stub(name), "references", line, context="attribute")
 
     def function(self, m, at):
-        if not m["result"] and not ((o := self.owner(at)) and self.out.known[o]["label"] == m["name"]):
+        if not m["result"] and not ((o := self.owner(at)) and self.out.known[o]["label"] == m["name"] and m["name"] not in self.enums):
             return
         if m["result"] in ("return", "new", "throw", "else", "case"):
             return
@@ -141,7 +140,7 @@ GROOVY = Spec(
 # --- C, C++ and dialects
 
 _C_NOISE = frozenset(
-    "void char short int long float double signed unsigned bool size_t ssize_t const static struct enum union volatile inline extern register auto constexpr virtual explicit friend typename class template mutable noexcept override int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t wchar_t char8_t char16_t char32_t nullptr_t FILE device constant thread threadgroup kernel __global__ __device__ __host__ __shared__ std uint half".split()
+    "void char short int long float double signed unsigned bool size_t ssize_t const static struct enum union volatile inline extern register auto constexpr virtual explicit friend typename class template mutable noexcept override int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t wchar_t char8_t char16_t char32_t nullptr_t FILE std".split()
 )
 _C_FUNCTION = P(r"^[ \t]*(?:template\s*<[^>]*>\s*)?(?P<result>(?:[A-Za-z_][\w:]*(?:<[^;(){}]*>)?[\s*&]+)+)(?P<name>~?[A-Za-z_]\w*)\s*\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:const\s*|noexcept\s*|override\s*)*\{")
 _CPP_FUNCTION = P(r"^[ \t]*(?:template\s*<[^>]*>\s*)?(?P<result>(?:[A-Za-z_][\w:]*(?:<[^;(){}]*>)?[\s*&]+)*)(?P<name>[A-Za-z_]\w*)\s*\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:const\s*|noexcept\s*|override\s*)*(?::[^{};]*)?\{")
@@ -173,6 +172,12 @@ def _cpp_fields(scan: Scan, me: str, kind: str, head: str, body, line: int) -> N
 
 
 class _CScan(Scan):
+    def __init__(self, spec, path, text):
+        super().__init__(spec, path, text)
+        # access labels and attributes are no part of the declarations after them
+        blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+        self.plain = re.sub(r"\[\[[^\]]*\]\]", blank, re.sub(r"\b(?:public|private|protected)\s*:(?!:)", blank, self.plain))
+
     def function(self, m, at):
         if m["result"].strip() in ("else", "return", "new") or (not m["result"].strip() and not ((o := self.owner(at)) and self.out.known[o]["label"] == m["name"])):
             return
@@ -223,13 +228,6 @@ def _cs_fields(scan: Scan, me: str, kind: str, head: str, body, line: int) -> No
 
 
 class _CsScan(Scan):
-    def type(self, kind, m, at):
-        super().type(kind, m, at)
-        me = _cs_id(self, m["name"])
-        for x in self.out.links:
-            if x["target"] == me and x["relation"] == "contains" and self.space_id:
-                x["source"] = self.space_id
-
     def refs(self, source, text, context, line):
         for name, generic in type_names(text, self.spec.noise):
             own = _cs_id(self, name)
@@ -309,7 +307,7 @@ def _swift_cases(scan: Scan, me: str, kind: str, start: int, end: int) -> None:
 class _SwiftScan(Scan):
     def run(self):
         # imported modules are nodes of the file
-        for m in re.finditer(r"^[ \t]*import\s+(?:\w+\s+)?(\w+)", self.plain, re.M):
+        for m in re.finditer(r"^[ \t]*import[ \t]+(?:\w+[ \t]+)?(\w+)", self.plain, re.M):
             line = self.line(m.start(1))
             self.out.link(self.root, self.out.node(make_id(m[1]), m[1], line), "imports", line, context="import")
         return super().run()
@@ -336,10 +334,10 @@ def _scala_fields(scan: Scan, me: str, kind: str, head: str, body, line: int) ->
 
 
 SCALA = Spec(
-    types=P(rf"^[ \t]*{_MODS}(?P<kind>class|trait|object)\s+(?P<name>\w+)(?P<head>[^{{\n]*)(?:\{{|$)"),
+    types=P(rf"^[ \t]*{_MODS}(?P<kind>class|object)\s+(?P<name>\w+)(?P<head>[^{{\n]*)(?:\{{|$)"),
     functions=P(rf"^[ \t]*{_MODS}def\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\s*(?:\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\))?\s*(?::\s*(?P<result>[^={{\n]+))?=?\s*\{{"),
     bases=_scala_bases, fields=_scala_fields, quotes="\"", bodiless=False, deep="[", import_pattern=P(r"^[ \t]*import\s+(?P<path>\w+)"), imports=_import("imports", lambda m: m["path"]),
-    noise=frozenset("Unit Any Nothing".split()), type_symbols=True,
+    noise=frozenset("Unit Any Nothing".split()), new_calls=False,
 )
 
 # --- PHP
@@ -393,8 +391,8 @@ def _php_use(scan: Scan, m: re.Match) -> None:
 
 PHP = Spec(
     types=P(r"^[ \t]*(?:(?:abstract|final|readonly)\s+)*(?P<kind>class)\s+(?P<name>\w+)(?P<head>[^{;]*)\{"),
-    functions=P(r"^[ \t]*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(?P<name>\w+)\s*\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?::\s*(?P<result>[^{;]+))?\{"),
-    bases=_php_bases, typed="before", noise=_PHP_NOISE, fields=_php_fields, quotes="\"'", line=("//", "#"), bodiless=False, import_pattern=P(r"^use\s+(?P<path>[\w\\]+)[^;{]*;"), imports=_php_use, member_calls="upper",
+    functions=P(r"^[ \t]*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(?P<name>\w+)\s*\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?::\s*(?P<result>[^{;]+))?[{;]"),
+    bases=_php_bases, typed="before", noise=_PHP_NOISE, fields=_php_fields, quotes="\"'", line=("//", "#"), new_calls=False, import_pattern=P(r"^use\s+(?P<path>[\w\\]+)[^;{]*;"), imports=_php_use, member_calls="upper",
 )
 
 # --- Rust, Go
@@ -444,7 +442,7 @@ def _rust_fields(scan: Scan, me: str, kind: str, head: str, body, line: int) ->
             for part in split_top(m[1] or m[2] or ""):
                 scan.refs(me, part.split(":", 1)[-1] if m[2] else part, "field", where)
     elif body:
-        for m in re.finditer(r"(?:^|,|\{)\s*(?:pub(?:\([^)]*\))?\s+)?\w+\s*:\s*(?P<type>[^,\n}]+(?:<[^\n]*>)?)", scan.plain[body[0] : body[1]], re.M):
+        for m in re.finditer(r"(?:^|,|\{)\s*(?:pub(?:\([^)]*\))?\s+)?\w+\s*:\s*(?P<type>[^\n}]+?)(?=,?\s*(?:\n|\}|$))", scan.plain[body[0] : body[1]], re.M):
             scan.refs(me, m["type"], "field", scan.line(body[0] + m.start("type")))
     elif m := re.search(r"\((.*)\)", head, re.S):
         for part in split_top(m[1]):
@@ -455,7 +453,7 @@ RUST = Spec(
     types=P(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?P<kind>struct|enum|trait)\s+(?P<name>\w+)(?P<head>[^{;]*)[{;]"),
     functions=P(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(?P<name>\w+)(?:\s*<[^>(]*>)?\s*\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:->\s*(?P<result>[^{;]+?))?\s*(?:where[^{;]*)?\{"),
     bases=lambda kind, head: [(n, "inherits", False) for n, _ in _first(head.split(":", 1)[1].replace("+", ","))] if kind == "trait" and ":" in head else [],
-    noise=_RUST_NOISE, fields=_rust_fields, quotes="\"", bodiless=False, member_calls="", import_pattern=P(r"^[ \t]*(?:pub\s+)?use\s+(?P<path>[^;]+);"),
+    keywords=frozenset("if for while match loop return".split()), noise=_RUST_NOISE, fields=_rust_fields, quotes="\"", bodiless=False, member_calls="", import_pattern=P(r"^[ \t]*(?:pub\s+)?use\s+(?P<path>[^;]+);"),
     imports=_import("imports_from", lambda m: re.split(r"::", m["path"].split("{")[0].rstrip(":* "))[-1].split(" as ")[0]),
 )
 

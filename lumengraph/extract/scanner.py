@@ -103,7 +103,6 @@ class Spec:
     line: tuple[str, ...] = ("//",)
     quotes: str = "\"'`"
     member_calls: str = "upper"  # calls on a receiver that are left out: upper (type names), all, named
-    type_symbols: bool = True
     extend: re.Pattern | None = None  # groups: name, head; adds to a type that stands elsewhere
     cases: Callable | None = None
     type_id: Callable | None = None
@@ -239,7 +238,7 @@ class Scan:
     def calls(self) -> None:
         spec, out = self.spec, self.out
         named = {n["label"].strip("()").lstrip("."): n["id"] for n in out.nodes if not n["id"].startswith("csharp_namespace")}
-        pattern = re.compile(r"(?:(?P<on>[\w$\])]+)\s*(?P<how>\.|->|\?\.|::)\s*)?(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[\w<>, ]*>\s*)?\(")
+        pattern = re.compile(r"(?:(?P<on>[\w$\])]+)\s*(?P<how>\.|->|\?\.|::)\s*)?(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[\w:, ]+>\s*)?\(")
         made, functions = set(), sorted(self.bodies)
         hits = sorted((m.start("name"), me, m) for a, b, me in functions for m in pattern.finditer(self.plain, a, b))
         for at, me, m in hits:
