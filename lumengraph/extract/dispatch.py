@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import brace_languages
+from . import brace_languages, formats, line_languages
 from .emitter import Emitter
 from .python_source import extract_python
 
-EXTRACTORS: dict[str, Callable[[str, str], Emitter]] = {"py": extract_python, "pyi": extract_python, **brace_languages.EXTRACTORS}
+EXTRACTORS: dict[str, Callable[[str, str], Emitter]] = {"py": extract_python, "pyi": extract_python, **brace_languages.EXTRACTORS, **line_languages.EXTRACTORS, **formats.EXTRACTORS}
 
 
 def extract(path: str, data: bytes) -> Emitter:
