@@ -156,3 +156,32 @@ def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str =
     hit = phrase_matches(docs, items, width, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")).distinct()
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (key == F.col("_hit_key")), "left_anti")
+
+
+def store_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the index as a table ``term, doc_id, text_key, pos`` with exact terms (A-Z in lower case), for :func:`search_index`."""
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), terms(F.col(text_col)).alias("words"))
+    keyed.select("doc_id", "text_key", F.posexplode("words").alias("pos", "term")).write.parquet(path)
+
+
+def search_index(index: DataFrame, items: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Exact matches from a stored index alone: ``doc_id, text_key, item_id, first, last``.
+
+    The list of each window's rarest term gives the candidate starts; the lists of its
+    other terms, moved by their offsets, are intersected with them, and a start stays
+    when every term of the window is found.  Repeated rows of the index count once.
+    """
+    tested = _test_terms(items, width, id_col, text_col).withColumn("term", lower_ascii(F.get("item_words", F.col("ipos"))))
+    wanted = tested.select("term").distinct()
+    counts = index.select("term").join(_sized(wanted, tested.count()), "term", "left_semi").groupBy("term").count()
+    windows = tested.select("item_id", "need", "ipos", "item_words").where(F.col("ipos") <= F.size("item_words") - F.col("need"))
+    windows = windows.select("item_id", "need", F.slice("item_words", F.col("ipos") + 1, F.col("need")).alias("window")).distinct().withColumn("number", F.xxhash64("item_id", "window"))
+    parts = windows.select("item_id", "need", "number", F.posexplode("window").alias("off", "term"))
+    rare = parts.join(counts, "term", "left").groupBy("number", "item_id", "need").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "term")).alias("r")).where("r.n > 0")
+    starts = index.join(rare.select("number", "item_id", "need", F.col("r.off").alias("off"), F.col("r.term").alias("term")), "term")
+    starts = starts.select("doc_id", "text_key", "number", "item_id", "need", (F.col("pos") - F.col("off")).alias("first")).where("first >= 0").distinct()
+    places = starts.join(parts.select("number", "off", "term"), "number").withColumn("pos", F.col("first") + F.col("off"))
+    lists = index.select(F.col("doc_id").alias("i_id"), F.col("text_key").alias("i_key"), "term", "pos").distinct()
+    found = places.join(lists, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("text_key") == F.col("i_key")) & (places["term"] == lists["term"]) & (places["pos"] == lists["pos"]))
+    whole = found.groupBy("doc_id", "text_key", "item_id", "number", "need", "first").count().where("count = need")
+    return whole.select("doc_id", "text_key", "item_id", "first", (F.col("first") + F.col("need") - 1).alias("last"))

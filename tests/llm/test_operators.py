@@ -230,6 +230,22 @@ def test_contamination_equals_brute_force(spark):
     assert Counter(again) == Counter(got)
 
 
+def test_stored_index_gives_the_same_matches(spark, tmp_path):
+    rng = random.Random(29)
+    text = lambda n: " ".join(rng.choices(["a", "b", "The", "É", "w1", "w2", "w3"] + ["x%d" % i for i in range(30)], k=n))
+    items = [(1, text(25)), (2, text(9)), (3, text(11)), (4, None)]
+    docs = [(i, text(15) + " " + (rng.choice(items)[1] or "") + "; " + text(5)) for i in range(40)] + [(None, items[0][1]), (90, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    decontaminate.store_index(frame(spark, docs), str(tmp_path / "index"))
+    hits = {}
+    for r in decontaminate.search_index(spark.read.parquet(str(tmp_path / "index")), bench).collect():
+        places, found = hits.setdefault(r["doc_id"], (set(), set()))
+        places |= set(range(r["first"], r["last"] + 1))
+        found.add(str(r["item_id"]))
+    got = {k: (len(p), tuple(sorted(f))) for k, (p, f) in hits.items()}
+    assert got == {k: (n, f) for k, _, n, f in brute_hits(docs, items) if n}
+
+
 def test_proximity_allows_a_gap(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta and theta iota kappa lambda"), (2, "kappa then nothing at all")], "doc_id long, text string")
