@@ -9,13 +9,12 @@ the start, so that groups of exact copies count once in everything that follows.
 Links are confirmed on the full sets.  In a bucket, members are compared with the
 bucket's first class; those that it links become one component.  Buckets whose
 members all lie in one component are done.  In the others, what is left are members
-outside the first one's component.  They are compared with that component's most
-linked sets, which takes in most that belong there.  The rest are compared exactly:
-sets that share a percentage of their union share one of their rarest shingles (as
-many as the sets' sizes leave room to differ), so an index of the rarest shingles of
-the open buckets' members gives all possible partners, whether they share a bucket
-or not.  A bucket of n copies costs n comparisons, not n * n, and no candidate is
-dropped.
+outside the first one's component.  They are settled exactly: sets that share a
+percentage of their union share one of their rarest shingles (as many as their sizes
+leave room to differ), so an index of the rarest shingles of the open buckets'
+members gives all possible partners.  A few partners of each member are compared
+first; those that are still in another component then follow, all of them.  A bucket
+of n copies costs n comparisons, not n * n, and no candidate is dropped.
 
 Defined results: words are runs of anything but space and \\t..\\r, A-Z in lower
 case; null, empty and wordless texts have an empty set and link with nothing;
@@ -30,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .components import components
 from .shingles import mix, shingle_sets
 
-#: Sets of a component that a member outside it is compared with before the exact search.
-HUBS = 32
+#: Possible partners of a member, in each of PARTS parts, that are compared before the others.
+FIRST_TRIES = 8
+#: Parts of a frequent shingle's holders, and holders in one row of the index.
+PARTS, PER_ROW = 2, 1024
 
 
 def signature(shingles: np.ndarray, permutations: int) -> np.ndarray:
@@ -81,21 +82,23 @@ def _sets(width: int):
     return scan
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        shared, union = [], []
-        for x, y in zip(b.pop("x"), b.pop("y")):
-            n = len(np.intersect1d(x, y, assume_unique=True))
-            shared.append(n)
-            union.append(len(x) + len(y) - n)
-        yield b.assign(shared=shared, total=union)
+def _compare(percent: int):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            linked = []
+            for x, y in zip(b.pop("x"), b.pop("y")):
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(n * 100 >= (len(x) + len(y) - n) * percent)
+            yield b[linked]
+
+    return scan
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, shared, total`` of distinct pairs of classes, from their full sets."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs ``a, b`` of classes those whose full sets share at least ``percent`` of their union."""
     of = lambda c, as_: sets.select(F.col("key").alias(c), F.col("shingles").alias(as_))
     joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-    return stored(joined.mapInPandas(_compare, "a binary, b binary, shared long, total long"))
+    return stored(joined.mapInPandas(_compare(percent), "a binary, b binary"))
 
 
 def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -105,8 +108,8 @@ def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(named.where("comp <> home").select("bucket").distinct(), "bucket", "left_semi")
 
 
-def _possible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of ``members`` (``key, comp, size, away, smallest``) in different components, one of them away from home, that may be linked.
+def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of ``members`` (``key, size, away, smallest``) that partners must share: ``key, size, away, token, place``.
 
     Shingles are ordered by how many members hold them.  Sets of m and n shingles
     that are linked share at least t = percent / (100 + percent) * (m + n), and so
@@ -119,14 +122,27 @@ def _possible(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     partner = F.greatest(F.ceil(F.col("size") * percent / 100), F.col("smallest"))
     first = F.col("size") - F.ceil((F.col("size") + partner) * percent / (100 + percent) - 1e-9) + 1
     place = F.row_number().over(Window.partitionBy("key").orderBy("held", "token"))
-    rare = stored(tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= first) & (F.col("held") > 1)).select("key", "comp", "away", "size", "token", "place"))
+    return tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= first) & (F.col("held") > 1)).select("key", "size", "away", "token", "place")
+
+
+def _partners(rarest: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``x, found``: the members in other components that may be linked with a member away from home, in arrays."""
+    rare = rarest.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     x = rare.where("away").select("token", F.col("key").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("m"), F.col("place").alias("i"))
-    y = rare.select("token", F.col("key").alias("y"), F.col("comp").alias("y_comp"), F.col("size").alias("n"), F.col("place").alias("j"))
-    # what two sets can share from their first common shingle on
-    most = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) + 1
-    pairs = x.join(y, "token").where((F.col("x_comp") != F.col("y_comp")))
-    pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("m") + F.col("n")).alias("total")).agg(F.max(most).alias("most"))
-    return pairs.where(F.col("most") * (100 + percent) >= F.col("total") * percent).select("a", "b")
+    # the holders of a shingle in rows of at most PER_ROW, so that a frequent one is neither one row nor one task
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    row = F.floor((F.row_number().over(Window.partitionBy("token", "part").orderBy("key")) - 1) / PER_ROW)
+    y = rare.withColumn("part", part).withColumn("row", row).groupBy("token", "part", "row").agg(F.collect_list(F.struct("key", "comp", "size", "place")).alias("ys"))
+
+    def enough(y: Column) -> Column:
+        # from a common shingle on, two sets can share no more than what is left of the shorter rest
+        most = F.least(F.col("m") - F.col("i"), y["size"] - y["place"]) + 1
+        return (y["comp"] != F.col("x_comp")) & (most * (100 + percent) >= (F.col("m") + y["size"]) * percent)
+
+    found = x.join(y, "token").select("x", F.transform(F.filter("ys", enough), lambda y: y["key"]).alias("found")).where(F.size("found") > 0)
+    # a partner's part is the same for every shingle, so that parts may be settled each on its own
+    found = found.groupBy("x", F.pmod(F.xxhash64(F.get("found", F.lit(0))), F.lit(PARTS)).alias("part")).agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    return found.select("x", "found")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 40, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     of (1 - 0.8**4)**20 = 2.6e-5, a closer one less often.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     signed = stored(source.mapInPandas(_sign(width, permutations, rows), f"doc_id {id_type}, text_key long, key binary, n_shingles long, bands array<long>"))
 
@@ -156,29 +172,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_text"))).select("key", "text")
     sets = stored(texts.mapInPandas(_sets(width), "key binary, shingles array<long>").dropDuplicates(["key"]))
 
-    linked = F.col("shared") * 100 >= F.col("total") * percent
-    first = _verified(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), sets)
-    edges = first.where(linked).select("a", "b")
-    labels = components(edges)
-
-    outside = _outside(members, labels)
-    # the most linked sets of the component that a member may belong to
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    rank = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("links"), "node"))
-    hubs = labels.join(ends, "node").withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.col("comp").alias("home"), F.col("node").alias("hub"))
-    tries = outside.where("comp <> home").select("key", "home").distinct().join(hubs, "home")
-    second = _verified(tries.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), sets).where(linked).select("a", "b")
-    edges = edges.union(second)
+    edges = _linked(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), sets, percent)
     labels = components(edges)
 
     outside = _outside(members, labels)
     sizes = sets.select("key", F.size("shingles").alias("size"))
     outside = outside.join(sizes, "key")
     smallest = outside.groupBy("bucket").agg(F.min("size").alias("smallest"))
-    candidates = outside.join(smallest, "bucket").groupBy("key", "comp", "size").agg(F.max(F.col("comp") != F.col("home")).alias("away"), F.min("smallest").alias("smallest"))
-    third = _verified(_possible(candidates, sets, percent), sets).where(linked).select("a", "b")
-    if not third.isEmpty():
-        labels = components(edges.union(third))
+    candidates = outside.join(smallest, "bucket").groupBy("key", "size").agg(F.max(F.col("comp") != F.col("home")).alias("away"), F.min("smallest").alias("smallest"))
+    rarest = stored(_rarest(candidates, sets, percent))
+    # a few partners of each first: those that it takes into their component need no further comparison there
+    for some in (F.slice("found", 1, FIRST_TRIES), F.col("found")):
+        pairs = _partners(rarest, labels, percent).select("x", F.explode(some).alias("y"))
+        edges = stored(edges.union(_linked(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets, percent)))
+        labels = components(edges)
 
     # smallest id of each component, then of each class in it
     placed = labels.select(F.col("node").alias("key"), "comp").join(classes.select("key", "low"), "key")
