@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .shingles import _SPACES, blocks, word_hashes
 
 PASSAGE_WORDS = 64
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     # at most max_bags pairs of numbers
     chosen = F.broadcast(docs.sparkSession.createDataFrame(sample, known.schema))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    texts = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
     rows = texts.mapInPandas(_bags(max_passages), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, bag array<float>")
     # repeated ids: still at most max_bags
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("bag", "label")).alias("r")).select("doc_id", "r.*").collect()
@@ -188,8 +189,8 @@ def _scorer(model: AttentionModel | None):
         for b in batches:
             scores: list[float] = []
             texts = b.pop("_passages").tolist()
-            for at in range(0, len(texts), 512):
-                part = list(encode(texts[at : at + 512])) if model else texts[at : at + 512]
+            for at in range(0, len(texts), 256):
+                part = list(encode(texts[at : at + 256])) if model else texts[at : at + 256]
                 scores += model.score(part).tolist() if model else [0.5] * len(part)
             yield b.assign(score=scores)
 
@@ -198,7 +199,7 @@ def _scorer(model: AttentionModel | None):
 
 def score(docs: DataFrame, model: AttentionModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep`` and ``score`` (0 to 1, higher: label 1 is likelier) of each document."""
-    rows = docs.select(*keep, F.col(text_col).alias("_passages"))
+    rows = small_batches(docs).select(*keep, F.col(text_col).alias("_passages"))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInPandas(_scorer(model), f"{schema}, score double")
 

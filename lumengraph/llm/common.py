@@ -48,3 +48,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session hands texts to Python in batches of at most 16 MB, where nothing else is set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) == "67108864b":  # the default
+        df.sparkSession.conf.set(key, str(16 << 20))
+    return df

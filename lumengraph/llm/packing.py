@@ -29,12 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Texts of these characters only are split by the pattern below exactly as the byte-level pre-tokeniser splits them.
 _PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧‰-⁞]*")
 _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_CACHE_ENTRIES = 1_000_000
+_CACHE_ENTRIES = 300_000
 
 
 def _ranked_merges(path: str):
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int =
     vocabularies; others are given whole texts.  ``with_ids`` adds the token ids.
     """
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pieces = cut(rows.mapInPandas(_cutter(tokenizer_path, window, end_id, plain_split, with_ids), columns))
 
     part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(spread))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters of the joined texts handled at a time; bounds the memory of the arrays below.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 

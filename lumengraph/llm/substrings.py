@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 LENGTH = 100
 QGRAM = 32
@@ -351,7 +351,7 @@ def _apply(keep_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]`` (``kept``: the remaining bytes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1)).alias("sub"), text.alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1)).alias("sub"), text.alias("text"))
     row = "bucket long, content long, doc long, place long"
     order = ["bucket", "content", "doc", "place"]
     verdict = "doc long, sub long, start long, count long, off long, state int"
