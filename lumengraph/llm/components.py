@@ -33,3 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
         to = lambda c: parent.select(F.col("comp").alias(c), F.col("parent").alias(f"{c}2"))
         left = stored(left.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
     return labels
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels of a graph that has got more edges: only components that these join are contracted again."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    merged = components(between.where("a <> b"))
+    fresh = merged.select("node").join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"))
+    top = merged.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return stored(labels.select("node", "comp").union(fresh).join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
-from .components import components
+from .components import components, extended
 from .shingles import mix, shingle_sets
 
 #: Possible partners of a member, in each of PARTS parts, that are compared before the others.
@@ -182,10 +182,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     candidates = outside.join(smallest, "bucket").groupBy("key", "size").agg(F.max(F.col("comp") != F.col("home")).alias("away"), F.min("smallest").alias("smallest"))
     rarest = stored(_rarest(candidates, sets, percent))
     # a few partners of each first: those that it takes into their component need no further comparison there
+    tried = None
     for some in (F.slice("found", 1, FIRST_TRIES), F.col("found")):
         pairs = _partners(rarest, labels, percent).select("x", F.explode(some).alias("y"))
-        edges = stored(edges.union(_linked(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets, percent)))
-        labels = components(edges)
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        tried = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        labels = extended(labels, _linked(tried, sets, percent))
 
     # smallest id of each component, then of each class in it
     placed = labels.select(F.col("node").alias("key"), "comp").join(classes.select("key", "low"), "key")
