@@ -410,3 +410,47 @@ def test_classifier_learns_held_out_documents(spark):
     assert {r["score"] for r in classifier.score(df, classifier.fit(df, labels.limit(0))).collect()} == {0.5}
     assert classifier.keep_good(df, model).columns == df.columns
     assert classifier.score(df.limit(0), model).count() == 0
+
+
+# --- licences
+
+
+def license_matches(spark, texts):
+    rows = licenses.match_licenses(frame(spark, list(enumerate(texts)))).collect()
+    return [[(m["license"], m["dice"]) for m in r["matches"]] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_notices_inside_lines_and_over_lines(spark):
+    filler = " ".join(f"w{i}" for i in range(300))
+    full = dict(licenses.FULL_TEXTS)
+    texts = [
+        "See the notes. Released under the MIT License. All rights reserved by us.",
+        f"{filler}\nThis work is licensed under the GNU\nGeneral Public License, version\n3. {filler}",
+        full["MIT"],
+        f"{filler}\n{full['MIT']}\n{filler}",
+        f"{filler} {full['BSD-3-Clause']} {filler} Released under the MIT License, {filler}",
+        f"x\x01Released under the\x01MIT License\x01 {filler}",
+        "of the license under the software as the mit " * 20,
+        None,
+    ]
+    assert license_matches(spark, texts) == [[("MIT", 1.0)], [("GPL-3.0", 1.0)], [("MIT", 1.0)], [("MIT", 1.0)], [("BSD-3-Clause", 1.0), ("MIT", 1.0)], [("MIT", 1.0)], [], []]
+
+
+def test_best_window_equals_brute_force(spark):
+    """All windows of texts made of the words of notices, with repeats."""
+    rng = random.Random(37)
+    known = [(n, set(g)) for n, t in licenses.TEMPLATES for g in [licenses.bigrams_of(t)[0]]]
+    texts = []
+    for _ in range(60):
+        own = re.findall(licenses.TERM, low(" ".join(rng.choice(licenses.TEMPLATES)[1] for _ in range(2))))
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 1)] = rng.choice([["the"], [own[at]] * 3, ["zz"]])
+        texts.append(" ".join(["aa"] * 2 + own))
+    for text, got in zip(texts, license_matches(spark, texts)):
+        grams = [f"{a} {b}" for a, b in zip(text.split(" "), text.split(" ")[1:])]
+        best = max(2 * len(w & g) / (len(w) + len(g)) for i in range(len(grams)) for j in range(i, len(grams)) for w in [set(grams[i : j + 1])] for _, g in known)
+        line = max(2 * len(set(grams) & g) / (len(set(grams)) + len(g)) for _, g in known)
+        # a line that matches is one match by itself
+        want = line if line >= 0.8 else best
+        assert max((d for _, d in got), default=None) == (pytest.approx(want, abs=1e-6) if want >= 0.8 else None), text
