@@ -420,6 +420,10 @@ def license_matches(spark, texts):
     return [[(m["license"], m["dice"]) for m in r["matches"]] for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
+def test_bounds_are_on_distinct_bigrams(spark):
+    assert license_matches(spark, ["Released under the MIT License. " * 3]) == [[("MIT", 0.888889)]]
+
+
 def test_notices_inside_lines_and_over_lines(spark):
     filler = " ".join(f"w{i}" for i in range(300))
     full = dict(licenses.FULL_TEXTS)
