@@ -4,10 +4,12 @@ Strong spans (named assignments, access-key ids, long hex strings) are reported
 wherever they stand.  Weak candidates are account names, bare 40-character keys
 and service endpoints; on their own they are mostly innocent.  Within a document
 they are interval-joined with the other parts of a credential: a weak part is
-reported only when complementary parts start within ``scope`` characters of it:
+reported only when complementary parts stand within ``scope`` characters of it, from
+the end of the one to the start of the other (overlapping parts have no distance):
 a name needs a secret, a bare key needs an identifier, an endpoint needs both.
-The join is a range frame over the spans of a document in order of their start,
-so its cost is that of a sort and no pairs are made.
+Of the parts that start before it, the furthest end is compared, of those after it
+the next start: running extremes over the spans of a document in order of their start
+and back, so the cost is that of two sorts and no pairs are made.
 
 Everything is DataFrame expressions: no Python runs on the rows.
 
@@ -64,8 +66,16 @@ def _candidates(rows: DataFrame) -> DataFrame:
 def _linked(spans: DataFrame, key: list[str], scope: int) -> DataFrame:
     """Exploded spans (``start, kind, end`` by ``key``), with a null kind for weak ones without company."""
     names = list(KINDS)
-    near = Window.partitionBy(*key).orderBy("start").rangeBetween(-scope, scope)
-    is_in = lambda *kinds: F.max(F.col("kind").isin([names.index(k) for k in kinds])).over(near)
+    # ranges take in the spans that start together; both run forward, as a frame that ends with the partition is summed anew for each row
+    before = Window.partitionBy(*key).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*key).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def is_in(*kinds: str) -> Column:
+        own = F.col("kind").isin([names.index(k) for k in kinds])
+        back = F.col("start") - F.max(F.when(own, F.col("end"))).over(before) <= scope
+        ahead = F.min(F.when(own, F.col("start"))).over(after) - F.col("end") <= scope
+        return F.coalesce(back, F.lit(False)) | F.coalesce(ahead, F.lit(False))
+
     # rows stay, so that no document is lost; those without spans have a null kind from the start
     spans = spans.withColumn("has_name", is_in("access", "ident")).withColumn("has_secret", is_in("assign", "hex", "bare_key"))
     kind = lambda k: F.col("kind") == names.index(k)

@@ -67,3 +67,13 @@ def test_redaction_keeps_the_rest(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert got == {None: None, 1: "a [assign] é [access].", 2: "clean"}
     assert secrets.redact(df).columns == df.columns
+
+
+def test_company_is_measured_between_ends_and_starts(spark):
+    long = "A1b2" * 105
+    texts = [None, f"token={long} user=deploybot", f"user=deploybot {'x ' * 148}token={long}", f"token={long}{' x' * 160} user=deploybot", f"https://a.example.com/{long} token=abcdefgh user=deploybot"]
+    got = spans(spark, texts)
+    kinds = lambda i: [s.split(":")[0] for s in got[i]]
+    assert [kinds(i) for i in range(1, 5)] == [["assign", "ident"], ["ident", "assign"], ["assign"], ["endpoint", "assign", "ident"]]
+    df = spark.createDataFrame([(1, texts[1])], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(df).collect()] == ["[assign] [ident]"]
