@@ -120,14 +120,45 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: s
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Inexact matches: ``doc_id, text_key, item_id, at`` where two different rarest terms of an item
-    stand in a document at most ``slop`` words away from their distance in the item."""
+    """Inexact matches: ``doc_id, text_key, item_id, at`` (where the window would begin) where at least four
+    fifths of the words of a window stand at most ``slop`` words away from their distance to one of its rare terms.
+
+    A window may lack a fifth of its words; its rare terms are one more than that, so
+    that one of them stands in every match.  Windows of under five words lack none.
+    """
     tested = _test_terms(items, width, item_col, item_text_col)
     n_terms = tested.count()
     index = postings(docs, id_col, text_col)
-    moved = index.join(_sized(rarest_terms(index, tested, n_terms), n_terms), "term").select("doc_id", "text_key", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("at")).distinct()
-    within = Window.partitionBy("doc_id", "text_key", "item_id").orderBy("at").rangeBetween(-slop, 0)
-    return moved.withColumn("other", F.min("ipos").over(within) < F.max("ipos").over(within)).where("other").select("doc_id", "text_key", "item_id", "at").distinct()
+    counts = index.select("term").join(_sized(tested.select("term").distinct(), n_terms), "term", "left_semi").groupBy("term").count()
+    windows = tested.where(F.col("ipos") <= F.size("item_words") - F.col("need")).select("item_id", "need", F.slice("item_words", F.col("ipos") + 1, F.col("need")).alias("window")).distinct()
+    parts = windows.select("*", F.posexplode("window").alias("off", "word")).withColumn("term", F.lower("word")).join(_sized(counts, n_terms), "term", "left")
+    ranked = parts.groupBy("item_id", "need", "window").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "term"))).alias("ranked"))
+    lacking = F.floor(F.col("need") / 5).cast("int")
+    rare = ranked.select("item_id", "need", "window", F.explode(F.slice("ranked", F.lit(1), lacking + 1)).alias("r")).where("r.n > 0").select("item_id", "need", "window", "r.off", "r.term")
+    # the words around a posting that any window through it can reach
+    first = F.greatest(F.col("pos") - (width - 1 + slop), F.lit(0))
+    around = lambda df: df.withColumn("found", F.transform(F.slice("words", first + 1, 2 * (width + slop) - 1), lower_ascii)).withColumn("place", F.col("pos") - first).drop("words")
+    if n_terms <= BROADCAST_ROWS:
+        hits = around(index.join(F.broadcast(rare), "term"))
+    else:
+        hits = around(index).join(rare, "term")
+    hits = hits.where(F.get("found", F.col("place")) == F.get("window", F.col("off")))
+
+    def stands(word: Column, k: Column) -> Column:
+        start = F.col("place") + k - F.col("off") - slop
+        begin = F.greatest(start, F.lit(0))
+        return F.array_contains(F.slice("found", begin + 1, F.greatest(start + 2 * slop + 1 - begin, F.lit(0))), word)
+
+    near = hits.where(F.size(F.filter("window", stands)) >= F.col("need") - lacking)
+    return near.select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("off")).alias("at")).distinct()
+
+
+def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The columns of :func:`contamination` and ``n_near``, the number of items with an inexact (or exact) match."""
+    near = proximity_matches(docs, items, slop, width, id_col, text_col, item_col, item_text_col).groupBy(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key")).agg(F.countDistinct("item_id").alias("n_near"))
+    rows = contamination(docs, items, width, id_col, text_col, item_col, item_text_col)
+    joined = rows.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("text_key") == F.col("near_key")), "left")
+    return joined.select(*rows.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -77,9 +77,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With inexact matches; a query of its own, as the SQL of op10_decontamination fixes its columns."""
+    out = decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "contaminated", "n_near")
+
+
 QUERIES |= {
     "op8_secret_scan": op8_secret_scan,
     "op10_decontamination": op10_decontamination,
+    "op10_proximity": op10_proximity,
 }
 
 ORACLE_SQL |= {

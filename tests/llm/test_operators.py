@@ -253,6 +253,14 @@ def test_proximity_allows_a_gap(spark):
     assert decontaminate.phrase_matches(docs, items).count() == 0
 
 
+def test_proximity_finds_changed_passages(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    items = spark.createDataFrame([(1, item), (2, "one two three four five six"), (3, "solo")], "item_id long, text string")
+    texts = [item.replace(" eta theta", " eta and theta"), "kappa then nothing at all", "x " + item.replace("delta", "other") + " y", "one two THREE and four five six", "one six", "so Solo", None, "lambda kappa alpha"]
+    got = [(r["n_near"], r["n_hit"]) for r in decontaminate.proximity(frame(spark, list(enumerate(texts))), items).orderBy("doc_id").collect()]
+    assert got == [(1, 0), (0, 0), (1, 0), (1, 0), (0, 0), (1, 1), (0, 0), (0, 0)]
+
+
 # --- near-duplicates
 
 
