@@ -6,15 +6,18 @@ hash space both the minimum and the maximum of the set are kept, so that
 ``rows`` values are the buckets.  Documents with the same set are one class from
 the start, so that groups of exact copies count once in everything that follows.
 
-Links are confirmed on the full sets.  In a bucket, members are compared with the
-bucket's first class; those that it links become one component.  Buckets whose
+Links are confirmed on the full sets.  In a bucket, members are compared with
+one of them, its centre; those that it links become one component.  Buckets whose
 members all lie in one component are done.  In the others, what is left are members
-outside the first one's component.  They are settled exactly: sets that share a
+outside the centre's component.  They are settled exactly: sets that share a
 percentage of their union share one of their rarest shingles (as many as their sizes
 leave room to differ), so an index of the rarest shingles of the open buckets'
-members gives all possible partners.  A few partners of each member are compared
-first; those that are still in another component then follow, all of them.  A bucket
-of n copies costs n comparisons, not n * n, and no candidate is dropped.
+members gives all possible partners; bounds from the places of the common shingle and
+from bitmaps of the sets, both exact, leave out those that differ too much.  Rounds
+compare every member outside with its nearest partners by bitmap, eight times as
+many in each round, and contract what is linked; they end when no member outside has
+a partner in another component that has not been compared.  A group of
+n near copies costs about n comparisons, not n * n, and no candidate is dropped.
 
 Defined results: words are runs of anything but space and \\t..\\r, A-Z in lower
 case; null, empty and wordless texts have an empty set and link with nothing;
@@ -36,10 +39,14 @@ from .common import small_batches, stored
 from .components import components, extended
 from .shingles import mix, shingle_sets
 
-#: Possible partners of a member, in each of PARTS parts, that are compared before the others.
-FIRST_TRIES = 8
-#: Parts of a frequent shingle's holders, and holders in one row of the index.
-PARTS, PER_ROW = 2, 1024
+#: Partners of a member that the first round compares; each further round takes GROWTH times as many.
+FIRST_TRIES, GROWTH = 4, 8
+#: Holders of a shingle in one row of the index.
+PER_ROW = 1024
+#: Pairs of one class that one copy of its set serves.
+PER_COPY = 256
+#: Words of 64 bits in the bitmap of a set.
+BITMAP = 16
 
 
 def signature(shingles: np.ndarray, permutations: int) -> np.ndarray:
@@ -74,10 +81,18 @@ def _sign(width: int, permutations: int, rows: int):
     return scan
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each shingle, several may share it: two sets differ in at least as many shingles as their bitmaps in bits."""
+    bits = np.zeros(BITMAP * 64, np.uint8)
+    bits[shingles % np.uint64(BITMAP * 64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(width: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "shingles": [s.view(np.int64) for s in shingle_sets(b["text"].tolist(), width)]})
+            sets = list(shingle_sets(b["text"].tolist(), width))
+            yield pd.DataFrame({"key": b["key"], "shingles": [s.view(np.int64) for s in sets], "bits": [_bitmap(s) for s in sets]})
 
     return scan
 
@@ -94,22 +109,36 @@ def _compare(percent: int):
     return scan
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """``pairs`` with the set of the class in column ``end``; a class of many pairs has its set copied, so that they part."""
+    many = pairs.groupBy(end).agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies")).where("copies > 1")
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(many, end, "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies).cast("int")).drop("copies")
+    held = sets.withColumnRenamed("key", end).join(many, end, "left").select(end, F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.col("shingles").alias(name))
+    return dealt.join(held, [end, "copy"]).drop("copy")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs ``a, b`` of classes those whose full sets share at least ``percent`` of their union."""
-    of = lambda c, as_: sets.select(F.col("key").alias(c), F.col("shingles").alias(as_))
-    joined = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    """Of distinct pairs ``a, b`` of classes those whose full sets share at least ``percent`` of their union; ``pairs`` is a stored table."""
+    joined = _with_sets(_with_sets(pairs, sets, "a", "x"), sets, "b", "y").select("a", "b", "x", "y")
     return stored(joined.mapInPandas(_compare(percent), "a binary, b binary"))
 
 
-def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``bucket, key, comp, home`` of the buckets with members outside the component of their first class (``home``)."""
-    named = members.join(labels.select(F.col("node").alias("key"), F.col("comp").alias("key_comp")), "key", "left").join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("home")), "centre", "left")
-    named = stored(named.select("bucket", "key", F.coalesce("key_comp", "key").alias("comp"), F.coalesce("home", "centre").alias("home")))
-    return named.join(named.where("comp <> home").select("bucket").distinct(), "bucket", "left_semi")
+def _named(keys: DataFrame, labels: DataFrame, key: str, comp: str) -> DataFrame:
+    """``keys`` with the component of the class in column ``key``; classes without links are components of their own."""
+    named = keys.join(labels.select(F.col("node").alias(key), F.col("comp").alias(comp)), key, "left")
+    return named.withColumn(comp, F.coalesce(comp, key))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bucket, key, centre, away`` of the buckets with members outside the component of their centre."""
+    named = _named(_named(members, labels, "key", "comp"), labels, "centre", "home")
+    named = stored(named.select("bucket", "key", "centre", (F.col("comp") != F.col("home")).alias("away")))
+    return named.join(named.where("away").select("bucket").distinct(), "bucket", "left_semi")
 
 
 def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles of ``members`` (``key, size, away, smallest``) that partners must share: ``key, size, away, token, place``.
+    """The rarest shingles of ``members`` (``key, size, smallest``) that partners must share: ``key, size, bits, token, place``.
 
     Shingles are ordered by how many members hold them.  Sets of m and n shingles
     that are linked share at least t = percent / (100 + percent) * (m + n), and so
@@ -117,32 +146,62 @@ def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n is at least percent / 100 * m, and at least ``smallest`` for those that share
     a bucket with the first.
     """
-    tokens = members.join(sets, "key").select(*members.columns, F.explode("shingles").alias("token"))
+    tokens = members.join(sets, "key").select("key", "size", "smallest", "bits", F.explode("shingles").alias("token"))
     held = tokens.groupBy("token").agg(F.count("*").alias("held"))
     partner = F.greatest(F.ceil(F.col("size") * percent / 100), F.col("smallest"))
     first = F.col("size") - F.ceil((F.col("size") + partner) * percent / (100 + percent) - 1e-9) + 1
     place = F.row_number().over(Window.partitionBy("key").orderBy("held", "token"))
-    return tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= first) & (F.col("held") > 1)).select("key", "size", "away", "token", "place")
+    return tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= first) & (F.col("held") > 1)).select("key", "size", "bits", "token", "place")
 
 
-def _partners(rarest: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """``x, found``: the members in other components that may be linked with a member away from home, in arrays."""
-    rare = rarest.join(labels.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    x = rare.where("away").select("token", F.col("key").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("m"), F.col("place").alias("i"))
-    # the holders of a shingle in rows of at most PER_ROW, so that a frequent one is neither one row nor one task
-    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
-    row = F.floor((F.row_number().over(Window.partitionBy("token", "part").orderBy("key")) - 1) / PER_ROW)
-    y = rare.withColumn("part", part).withColumn("row", row).groupBy("token", "part", "row").agg(F.collect_list(F.struct("key", "comp", "size", "place")).alias("ys"))
+def _partners(rarest: DataFrame, outside: DataFrame, labels: DataFrame, percent: int, tries: int) -> DataFrame:
+    """``x, found, more``: the ``tries`` best members in other components that may be linked with a member outside, and whether there are more."""
+    rare = stored(_named(rarest, labels, "key", "comp"))
+    x = rare.join(outside, "key", "left_semi").select("token", F.col("key").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("bits").alias("x_bits"))
+    # the holders of a shingle in rows of about PER_ROW, so that a frequent one is neither one row nor one task
+    rows = rare.groupBy("token").agg(F.ceil(F.count("*") / PER_ROW).alias("rows"))
+    row = F.pmod(F.xxhash64("key"), F.col("rows"))
+    y = rare.join(rows, "token").withColumn("row", row).groupBy("token", "row").agg(F.collect_list(F.struct("key", "comp", "size", "place", "bits")).alias("ys"))
+    both = lambda y: F.col("m") + y["size"]
 
-    def enough(y: Column) -> Column:
-        # from a common shingle on, two sets can share no more than what is left of the shorter rest
+    def able_(y: Column) -> Column:
+        # from a common shingle on, two sets can share no more than what is left of the shorter rest; of the union's other shingles their bitmaps show some
         most = F.least(F.col("m") - F.col("i"), y["size"] - y["place"]) + 1
-        return (y["comp"] != F.col("x_comp")) & (most * (100 + percent) >= (F.col("m") + y["size"]) * percent)
+        return (y["comp"] != F.col("x_comp")) & (most * (100 + percent) >= both(y) * percent) & (apart(y) * (100 + percent) <= both(y) * (100 - percent))
+
+    def apart(y: Column) -> Column:
+        return sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get(y["bits"], F.lit(k)))) for k in range(1, BITMAP)), F.bit_count(F.get("x_bits", F.lit(0)).bitwiseXOR(F.get(y["bits"], F.lit(0)))))
 
-    found = x.join(y, "token").select("x", F.transform(F.filter("ys", enough), lambda y: y["key"]).alias("found")).where(F.size("found") > 0)
-    # a partner's part is the same for every shingle, so that parts may be settled each on its own
-    found = found.groupBy("x", F.pmod(F.xxhash64(F.get("found", F.lit(0))), F.lit(PARTS)).alias("part")).agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    return found.select("x", "found")
+    # the fewer bits apart for their sizes, the better
+    able = F.transform(F.filter("ys", able_), lambda y: F.struct((apart(y) / both(y)).alias("apart"), y["key"].alias("key")))
+    found = x.join(y, "token").select("x", able.alias("found")).where(F.size("found") > 0)
+    found = found.select("x", F.slice(F.array_sort("found"), 1, tries).alias("found"), (F.size("found") > tries).alias("more"))
+    found = found.groupBy("x").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.max("more").alias("more"))
+    # one partner by several shingles counts once, at its best bound
+    found = found.select("x", F.array_distinct(F.transform("found", lambda f: f["key"])).alias("found"), "more")
+    return found.select("x", F.slice("found", 1, tries).alias("found"), (F.col("more") | (F.size("found") > tries)).alias("more"))
+
+
+def _settled(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``labels`` with all links between members of one bucket, by rounds of best partners first."""
+    open_ = stored(_open(members, labels))
+    sizes = sets.select("key", F.size("shingles").alias("size"))
+    sized = open_.join(sizes, "key")
+    smallest = sized.groupBy("bucket").agg(F.min("size").alias("smallest"))
+    candidates = sized.join(smallest, "bucket").groupBy("key", "size").agg(F.min("smallest").alias("smallest"))
+    rarest = stored(_rarest(candidates, sets, percent))
+    tries, tried = FIRST_TRIES, None
+    outside = open_.where("away").select("key").distinct()
+    while True:
+        found = stored(_partners(rarest, outside, labels, percent, tries))
+        pairs = found.select("x", F.explode("found").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty() and found.where("more").isEmpty():
+            return labels
+        labels = extended(labels, _linked(pairs, sets, percent))
+        tried = pairs if tried is None else tried.union(pairs)
+        tries *= GROWTH
+        outside = stored(_named(_named(open_, labels, "key", "comp"), labels, "centre", "home").where("comp <> home").select("key").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 40, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,30 +223,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     classes = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
     classes = stored(classes)
     bands = classes.select("key", F.explode("bands").alias("bucket"))
-    firsts = bands.groupBy("bucket").agg(F.min("key").alias("centre"), F.max("key").alias("other")).where("centre <> other").drop("other")
-    members = stored(bands.join(firsts, "bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other").select("bucket", "n")
+    members = stored(bands.join(shared, "bucket"))
+    # a bucket's centre is its member that most others meet in any bucket: the text that copies were made from, or one close to it
+    met = members.groupBy("key").agg(F.sum("n").alias("met"))
+    centres = members.join(met, "key").groupBy("bucket").agg(F.max_by("key", F.struct("met", "key")).alias("centre"))
+    members = stored(members.select("bucket", "key").join(centres, "bucket"))
 
     wanted = members.select("key").distinct().join(classes.select("key", "one"), "key")
     wanted = wanted.select("key", F.col("one.doc_id").alias("w_id"), F.col("one.text_key").alias("w_text"))
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_text"))).select("key", "text")
-    sets = stored(texts.mapInPandas(_sets(width), "key binary, shingles array<long>").dropDuplicates(["key"]))
+    sets = stored(texts.mapInPandas(_sets(width), "key binary, shingles array<long>, bits array<long>").dropDuplicates(["key"]))
 
-    edges = _linked(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), sets, percent)
-    labels = components(edges)
-
-    outside = _outside(members, labels)
-    sizes = sets.select("key", F.size("shingles").alias("size"))
-    outside = outside.join(sizes, "key")
-    smallest = outside.groupBy("bucket").agg(F.min("size").alias("smallest"))
-    candidates = outside.join(smallest, "bucket").groupBy("key", "size").agg(F.max(F.col("comp") != F.col("home")).alias("away"), F.min("smallest").alias("smallest"))
-    rarest = stored(_rarest(candidates, sets, percent))
-    # a few partners of each first: those that it takes into their component need no further comparison there
-    tried = None
-    for some in (F.slice("found", 1, FIRST_TRIES), F.col("found")):
-        pairs = _partners(rarest, labels, percent).select("x", F.explode(some).alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        tried = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        labels = extended(labels, _linked(tried, sets, percent))
+    stars = stored(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
+    labels = _settled(members, components(_linked(stars, sets, percent)), sets, percent)
 
     # smallest id of each component, then of each class in it
     placed = labels.select(F.col("node").alias("key"), "comp").join(classes.select("key", "low"), "key")
