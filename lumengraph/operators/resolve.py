@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..extract.names import GLOBALS
 from ..functions.text import basename, make_id, symbol_key
-from ..tables import PropertyGraph, stored
+from ..tables import BEYOND, PropertyGraph, stored
 from .dedupe import dedupe_links, dedupe_nodes, names_file, repoint, resolvable, stub_remap
 
 
@@ -69,7 +69,8 @@ def imported_links(nodes: DataFrame, links: DataFrame, imports: DataFrame, calls
     c = c.select("ord", F.lit(3).alias("step"), F.col("caller").alias("source"), "target", F.lit("calls").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit("call").alias("context"), "file", "line", F.lit(1.0).alias("weight"))
 
     new = a.unionByName(b).unionByName(c).join(links.select("source", "target", "relation"), ["source", "target", "relation"], "left_anti")
-    place = (F.lit(1 << 50) + F.col("step") * (1 << 48) + F.col("ord")).cast("long")
+    # behind all links of the files: theirs stay below BEYOND, and there are three steps
+    place = (F.lit(4 * BEYOND) + (F.col("step") - 1) * F.lit(BEYOND) + F.col("ord")).cast("long")
     return new.select(
         place.alias("ord"), "source", "target", "relation", "confidence", "context", F.col("file").alias("source_file"), F.concat(F.lit("L"), F.col("line")).alias("source_location"), "weight", F.lit(None).cast("string").alias("extra")
     ).select(*links.columns)

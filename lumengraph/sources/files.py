@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import dedupe_links, dedupe_nodes
-from ..tables import PropertyGraph, stored
+from ..tables import PER_FILE, PropertyGraph, stored
 
 #: Endings that the scan of a folder takes by default, and folders that it leaves out.
 WALKED = "py pyi js jsx mjs cjs ts mts cts java c h cpp cc cxx hpp hh hxx go rs".split()
@@ -66,13 +66,26 @@ class Extraction:
     calls: DataFrame
 
 
+def file_ranks(rows: DataFrame) -> DataFrame:
+    """``file, rank``: the place of each file in order of path, without gaps, from the sizes of sorted partitions."""
+    spark = rows.sparkSession
+    ordered = rows.select("file").distinct().repartitionByRange("file").sortWithinPartitions("file")
+    # the id of a row is its partition, then its place there
+    placed = stored(ordered.select("file", F.monotonically_increasing_id().alias("id")))
+    part = F.shiftright("id", 33)
+    before, bases = 0, []
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # a row for each partition
+        bases.append((r["part"], before))
+        before += r["count"]
+    bases = spark.createDataFrame(bases, "part long, base long")
+    return placed.withColumn("part", part).join(F.broadcast(bases), "part").select("file", (F.col("base") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+
+
 def extract_files(files: DataFrame) -> Extraction:
     """Nodes and links of ``file, content`` rows.  Each file is read and parsed once; ``ord`` follows the files' paths."""
     rows = stored(files.mapInPandas(_rows, _ROW))
-    # files are ranked by path; rows of a file keep the order of their emission
-    ranks = rows.select("file").distinct().select("file", F.hash("file").alias("h"))
-    ordered = ranks.repartitionByRange("file").sortWithinPartitions("file").select("file", F.monotonically_increasing_id().alias("rank"))
-    rows = rows.join(stored(ordered), "file").withColumn("ord", F.col("rank") * (1 << 24) + F.col("idx"))
+    # rows of a file keep the order of their emission
+    rows = rows.join(file_ranks(rows), "file").withColumn("ord", F.col("rank") * PER_FILE + F.col("idx"))
     of = lambda kind, names: rows.where(F.col("kind") == kind).select("ord", "file", *[F.col(c).alias(n) for c, n in zip("abcdefg", names)], F.col("w").alias("weight"), "line", "extra")
     nodes = of("node", _NODE).drop("weight", "line", "file")
     links = of("link", _LINK).drop("line", "file")
