@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import dropped, scratch, stored
+
+__all__ = ["BATCH_BYTES", "UPPER", "WORD", "cut", "dropped", "lower_ascii", "packed", "small_batches", "stored", "table"]
+
 #: Words of the contracts: maximal runs of anything but space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of text that one batch hands to Python in steps that are run by the operator itself.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,37 +28,29 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder; sets one of its own only where none is set."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lumengraph-checkpoint-"))
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``row`` with all columns of ``docs`` as they are, and ``columns``, whose names can't clash with theirs."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and cuts the lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, as a Parquet table in the checkpoint folder: what loops read again and again.
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside hands texts to Python in batches of at most BATCH_BYTES, where the session sets nothing else.
 
-    A checkpoint keeps the constraints that the optimiser has derived, and in a
-    loop those multiply from round to round; a table read back has none, and its
-    size is known to the planner.
+    The session's setting is put back at the end.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same frame; its session hands texts to Python in batches of at most 16 MB, where nothing else is set."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(key) == "67108864b":  # the default
-        df.sparkSession.conf.set(key, str(16 << 20))
-    return df
+    before = spark.conf.get(key)
+    if before == "67108864b":  # the default
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before == "67108864b":
+            spark.conf.unset(key)

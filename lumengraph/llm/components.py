@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,17 +21,20 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.select("a", "b").union(left.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("comp"), F.least("a", "b").alias("parent"))
-        parent = stored(parent)
+        last = parent = stored(parent)
         while True:  # pointer jumping; depths halve
             above = parent.select(F.col("comp").alias("parent"), F.col("parent").alias("top"))
             jumped = stored(parent.join(above, "parent").select("comp", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")))
             moved = not jumped.where("moved").isEmpty()
-            parent = jumped.drop("moved")
+            dropped(last)
+            last, parent = jumped, jumped.drop("moved")
             if not moved:
                 break
-        labels = stored(labels.join(parent, "comp", "left").select("node", F.coalesce("parent", "comp").alias("comp")))
+        old, labels = labels, stored(labels.join(parent, "comp", "left").select("node", F.coalesce("parent", "comp").alias("comp")))
         to = lambda c: parent.select(F.col("comp").alias(c), F.col("parent").alias(f"{c}2"))
-        left = stored(left.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+        passed, left = left, stored(left.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+        dropped(old, passed, last)
+    dropped(left)
     return labels
 
 
@@ -42,4 +45,6 @@ def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
     merged = components(between.where("a <> b"))
     fresh = merged.select("node").join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"))
     top = merged.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    return stored(labels.select("node", "comp").union(fresh).join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+    out = stored(labels.select("node", "comp").union(fresh).join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+    dropped(labels, merged)
+    return out

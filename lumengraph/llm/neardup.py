@@ -6,18 +6,17 @@ hash space both the minimum and the maximum of the set are kept, so that
 ``rows`` values are the buckets.  Documents with the same set are one class from
 the start, so that groups of exact copies count once in everything that follows.
 
-Links are confirmed on the full sets.  In a bucket, members are compared with
-one of them, its centre; those that it links become one component.  Buckets whose
-members all lie in one component are done.  In the others, what is left are members
-outside the centre's component.  They are settled exactly: sets that share a
-percentage of their union share one of their rarest shingles (as many as their sizes
-leave room to differ), so an index of the rarest shingles of the open buckets'
-members gives all possible partners; bounds from the places of the common shingle and
-from bitmaps of the sets, both exact, leave out those that differ too much.  Rounds
-compare every member outside with its nearest partners by bitmap, eight times as
-many in each round, and contract what is linked; they end when no member outside has
-a partner in another component that has not been compared.  A group of
-n near copies costs about n comparisons, not n * n, and no candidate is dropped.
+Links are confirmed on the full sets.  In a bucket, members are compared with one of
+them, its centre; those that it links become one component.  Buckets whose members
+all lie in one component are done.  In the others, what is left are members outside
+the centre's component.  They are held against all members of their buckets in other
+components, block by block, by a bitmap of each set: two sets differ in at least as
+many shingles as their bitmaps in bits, so that most pairs below the threshold are ruled
+out exactly and without their sets.  Of those that may be linked, rounds compare the
+nearest partners of each member first, eight times as many in each round, and
+contract what is linked; they end when no member outside has a possible partner in
+another component that has not been compared.  No candidate is dropped, and no pairs
+leave a block but those that are compared.
 
 Defined results: words are runs of anything but space and \\t..\\r, A-Z in lower
 case; null, empty and wordless texts have an empty set and link with nothing;
@@ -32,17 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import dropped, packed, small_batches, stored
 from .components import components, extended
 from .shingles import mix, shingle_sets
 
 #: Partners of a member that the first round compares; each further round takes GROWTH times as many.
-FIRST_TRIES, GROWTH = 4, 8
-#: Holders of a shingle in one row of the index.
-PER_ROW = 1024
+FIRST_TRIES, GROWTH = 4, 64
+#: Members of a block, and members outside that are held against it in one go.
+PER_BLOCK, PER_GO = 1024, 256
 #: Pairs of one class that one copy of its set serves.
 PER_COPY = 256
 #: Words of 64 bits in the bitmap of a set.
@@ -81,11 +80,11 @@ def _sign(width: int, permutations: int, rows: int):
     return scan
 
 
-def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    """One bit for each shingle, several may share it: two sets differ in at least as many shingles as their bitmaps in bits."""
+def _bitmap(shingles: np.ndarray) -> bytes:
+    """One bit for each shingle, several may share it."""
     bits = np.zeros(BITMAP * 64, np.uint8)
     bits[shingles % np.uint64(BITMAP * 64)] = 1
-    return np.packbits(bits).view(np.int64)
+    return np.packbits(bits).tobytes()
 
 
 def _sets(width: int):
@@ -130,78 +129,74 @@ def _named(keys: DataFrame, labels: DataFrame, key: str, comp: str) -> DataFrame
     return named.withColumn(comp, F.coalesce(comp, key))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``bucket, key, centre, away`` of the buckets with members outside the component of their centre."""
-    named = _named(_named(members, labels, "key", "comp"), labels, "centre", "home")
-    named = stored(named.select("bucket", "key", "centre", (F.col("comp") != F.col("home")).alias("away")))
-    return named.join(named.where("away").select("bucket").distinct(), "bucket", "left_semi")
+#: A member in one binary value: its class, component, size and bitmap.
+_RECORD = np.dtype([("key", "V16"), ("comp", "V16"), ("size", ">i4"), ("bits", "<u8", BITMAP)])
 
 
-def _rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rarest shingles of ``members`` (``key, size, smallest``) that partners must share: ``key, size, bits, token, place``.
+def _near(percent: int, tries: int):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for xs, ys in zip(b["xs"], b["ys"]):
+                x, y = np.frombuffer(b"".join(xs), _RECORD), np.frombuffer(b"".join(ys), _RECORD)
+                # components as numbers
+                comp = np.unique(np.concatenate((x["comp"], y["comp"])).view("S16"), return_inverse=True)[1]
+                both = x["size"].astype(np.int64)[:, None] + y["size"].astype(np.int64)
+                apart = np.stack([np.bitwise_count(v ^ y["bits"]).sum(axis=1, dtype=np.int64) for v in x["bits"]])
+                able = (comp[: len(x), None] != comp[len(x) :]) & (apart * (100 + percent) <= both * (100 - percent))
+                share = np.where(able, apart / both, 2.0)
+                for i in np.flatnonzero(able.any(axis=1)):
+                    n = int(able[i].sum())
+                    best = np.argsort(share[i], kind="stable")[: min(n, tries)]
+                    out.append((xs[i][:16], [ys[j][:16] for j in best], share[i][best], n > tries))
+            yield pd.DataFrame(out, columns=["x", "found", "apart", "more"])
+
+    return scan
+
+
+def _partners(open_: DataFrame, sets: DataFrame, percent: int, tries: int) -> DataFrame:
+    """``x, found, more``: the ``tries`` nearest members of its buckets that may be linked with a member outside and lie in other components, and whether there are more.
 
-    Shingles are ordered by how many members hold them.  Sets of m and n shingles
-    that are linked share at least t = percent / (100 + percent) * (m + n), and so
-    one of the first m - t + 1 of the one and the first n - t + 1 of the other;
-    n is at least percent / 100 * m, and at least ``smallest`` for those that share
-    a bucket with the first.
+    ``open_``: ``bucket, key, comp, away``.
     """
-    tokens = members.join(sets, "key").select("key", "size", "smallest", "bits", F.explode("shingles").alias("token"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("held"))
-    partner = F.greatest(F.ceil(F.col("size") * percent / 100), F.col("smallest"))
-    first = F.col("size") - F.ceil((F.col("size") + partner) * percent / (100 + percent) - 1e-9) + 1
-    place = F.row_number().over(Window.partitionBy("key").orderBy("held", "token"))
-    return tokens.join(held, "token").withColumn("place", place).where((F.col("place") <= first) & (F.col("held") > 1)).select("key", "size", "bits", "token", "place")
-
-
-def _partners(rarest: DataFrame, outside: DataFrame, labels: DataFrame, percent: int, tries: int) -> DataFrame:
-    """``x, found, more``: the ``tries`` best members in other components that may be linked with a member outside, and whether there are more."""
-    rare = stored(_named(rarest, labels, "key", "comp"))
-    x = rare.join(outside, "key", "left_semi").select("token", F.col("key").alias("x"), F.col("comp").alias("x_comp"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("bits").alias("x_bits"))
-    # the holders of a shingle in rows of about PER_ROW, so that a frequent one is neither one row nor one task
-    rows = rare.groupBy("token").agg(F.ceil(F.count("*") / PER_ROW).alias("rows"))
-    row = F.pmod(F.xxhash64("key"), F.col("rows"))
-    y = rare.join(rows, "token").withColumn("row", row).groupBy("token", "row").agg(F.collect_list(F.struct("key", "comp", "size", "place", "bits")).alias("ys"))
-    both = lambda y: F.col("m") + y["size"]
-
-    def able_(y: Column) -> Column:
-        # from a common shingle on, two sets can share no more than what is left of the shorter rest; of the union's other shingles their bitmaps show some
-        most = F.least(F.col("m") - F.col("i"), y["size"] - y["place"]) + 1
-        return (y["comp"] != F.col("x_comp")) & (most * (100 + percent) >= both(y) * percent) & (apart(y) * (100 + percent) <= both(y) * (100 - percent))
-
-    def apart(y: Column) -> Column:
-        return sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get(y["bits"], F.lit(k)))) for k in range(1, BITMAP)), F.bit_count(F.get("x_bits", F.lit(0)).bitwiseXOR(F.get(y["bits"], F.lit(0)))))
-
-    # the fewer bits apart for their sizes, the better
-    able = F.transform(F.filter("ys", able_), lambda y: F.struct((apart(y) / both(y)).alias("apart"), y["key"].alias("key")))
-    found = x.join(y, "token").select("x", able.alias("found")).where(F.size("found") > 0)
-    found = found.select("x", F.slice(F.array_sort("found"), 1, tries).alias("found"), (F.size("found") > tries).alias("more"))
-    found = found.groupBy("x").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.max("more").alias("more"))
-    # one partner by several shingles counts once, at its best bound
-    found = found.select("x", F.array_distinct(F.transform("found", lambda f: f["key"])).alias("found"), "more")
+    size = F.to_binary(F.lpad(F.hex("size"), 8, "0"), F.lit("hex"))
+    rows = open_.join(sets.select("key", F.size("shingles").alias("size"), "bits"), "key").select("bucket", "key", "away", F.concat("key", "comp", size, "bits").alias("record"))
+    away = F.sum(F.col("away").cast("int"))
+    counts = open_.groupBy("bucket").agg(F.ceil(F.count("*") / PER_BLOCK).cast("int").alias("blocks"), F.ceil(away / PER_GO).cast("int").alias("goes"))
+    rows = rows.join(counts.where("goes > 0"), "bucket")
+    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    y = rows.withColumn("block", part("blocks")).groupBy("bucket", "block").agg(F.collect_list("record").alias("ys"))
+    x = rows.where("away").withColumn("go", part("goes")).groupBy("bucket", "go", "blocks").agg(F.collect_list("record").alias("xs"))
+    x = x.select("bucket", "xs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    found = x.join(y, ["bucket", "block"]).select("xs", "ys").mapInPandas(_near(percent, tries), "x binary, found array<binary>, apart array<double>, more boolean")
+    listed = F.transform("found", lambda y, i: F.struct(F.get("apart", i).alias("apart"), y.alias("y")))
+    found = found.groupBy("x").agg(F.array_sort(F.flatten(F.collect_list(listed))).alias("found"), F.max("more").alias("more"))
+    # a partner in several buckets counts once
+    found = found.select("x", F.array_distinct(F.transform("found", lambda f: f["y"])).alias("found"), "more")
     return found.select("x", F.slice("found", 1, tries).alias("found"), (F.col("more") | (F.size("found") > tries)).alias("more"))
 
 
 def _settled(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``labels`` with all links between members of one bucket, by rounds of best partners first."""
-    open_ = stored(_open(members, labels))
-    sizes = sets.select("key", F.size("shingles").alias("size"))
-    sized = open_.join(sizes, "key")
-    smallest = sized.groupBy("bucket").agg(F.min("size").alias("smallest"))
-    candidates = sized.join(smallest, "bucket").groupBy("key", "size").agg(F.min("smallest").alias("smallest"))
-    rarest = stored(_rarest(candidates, sets, percent))
-    tries, tried = FIRST_TRIES, None
-    outside = open_.where("away").select("key").distinct()
+    """``labels`` with all links between members of one bucket, by rounds of nearest partners first."""
+    open_, tries, tried = members, FIRST_TRIES, None
     while True:
-        found = stored(_partners(rarest, outside, labels, percent, tries))
+        named = _named(_named(open_.select("bucket", "key", "centre"), labels, "key", "comp"), labels, "centre", "home")
+        named = stored(named.withColumn("away", F.col("comp") != F.col("home")).drop("home"))
+        if tries > FIRST_TRIES:
+            dropped(open_)
+        open_ = stored(named.join(named.where("away").select("bucket").distinct(), "bucket", "left_semi"))
+        found = stored(_partners(open_, sets, percent, tries))
         pairs = found.select("x", F.explode("found").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty() and found.where("more").isEmpty():
+        done = pairs.isEmpty() and found.where("more").isEmpty()
+        dropped(named, found)
+        if done:
             return labels
-        labels = extended(labels, _linked(pairs, sets, percent))
+        linked = _linked(pairs, sets, percent)
+        labels = extended(labels, linked)
+        dropped(linked)
         tried = pairs if tried is None else tried.union(pairs)
         tries *= GROWTH
-        outside = stored(_named(_named(open_, labels, "key", "comp"), labels, "centre", "home").where("comp <> home").select("key").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = 40, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,9 +210,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     of (1 - 0.8**4)**20 = 2.6e-5, a closer one less often.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    signed = stored(source.mapInPandas(_sign(width, permutations, rows), f"doc_id {id_type}, text_key long, key binary, n_shingles long, bands array<long>"))
+    # ids are text in Python, which has no whole numbers beside nulls
+    signed = source.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sign(width, permutations, rows), "doc_id string, text_key long, key binary, n_shingles long, bands array<long>")
+    with small_batches(docs.sparkSession):
+        signed = stored(signed.withColumn("doc_id", F.col("doc_id").cast(id_type)))
 
     # one class for each distinct set, known by the smallest of its documents
     classes = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
@@ -233,10 +231,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     wanted = members.select("key").distinct().join(classes.select("key", "one"), "key")
     wanted = wanted.select("key", F.col("one.doc_id").alias("w_id"), F.col("one.text_key").alias("w_text"))
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_text"))).select("key", "text")
-    sets = stored(texts.mapInPandas(_sets(width), "key binary, shingles array<long>, bits array<long>").dropDuplicates(["key"]))
+    with small_batches(docs.sparkSession):
+        sets = stored(texts.mapInPandas(_sets(width), "key binary, shingles array<long>, bits binary").dropDuplicates(["key"]))
 
     stars = stored(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
-    labels = _settled(members, components(_linked(stars, sets, percent)), sets, percent)
+    linked = _linked(stars, sets, percent)
+    labels = _settled(members, components(linked), sets, percent)
+    dropped(stars, linked, members, sets)
 
     # smallest id of each component, then of each class in it
     placed = labels.select(F.col("node").alias("key"), "comp").join(classes.select("key", "low"), "key")
@@ -257,8 +258,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     chosen = found.where("component_key is not null").groupBy("component_key").agg(F.min(order).alias("one")).select("one.doc_id", "one.text_key")
     chosen = chosen.union(found.where("component_key is null").select("doc_id", "text_key").distinct())
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    chosen = chosen.select(name("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_id", name(id_col)).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # no id has the name of a null one
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    chosen = chosen.select(name("doc_id").alias("id"), F.col("text_key").alias("key"))
+    keyed = packed(docs, id=name(id_col), key=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     # the join has brought rows that are alike together already
-    return keyed.join(chosen, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    return keyed.join(chosen, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("row.*")
