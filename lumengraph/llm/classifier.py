@@ -21,7 +21,7 @@ row each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import packed, small_batches
 from .shingles import _SPACES, blocks, word_hashes
 
 PASSAGE_WORDS = 64
@@ -176,34 +176,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     # at most max_bags pairs of numbers
     chosen = F.broadcast(docs.sparkSession.createDataFrame(sample, known.schema))
-    texts = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
     rows = texts.mapInPandas(_bags(max_passages), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, bag array<float>")
     # repeated ids: still at most max_bags
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("bag", "label")).alias("r")).select("doc_id", "r.*").collect()
+    with small_batches(docs.sparkSession):
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("bag", "label")).alias("r")).select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: str(r["doc_id"]))
     return train([np.array(r["bag"], np.float32).reshape(-1, WIDTH) for r in rows], np.array([r["label"] for r in rows]))
 
 
-def _scorer(model: AttentionModel | None):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            scores: list[float] = []
-            texts = b.pop("_passages").tolist()
+def _scorer(model: AttentionModel | None) -> Callable[[Column], Column]:
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out: list[float] = []
             for at in range(0, len(texts), 256):
-                part = list(encode(texts[at : at + 256])) if model else texts[at : at + 256]
-                scores += model.score(part).tolist() if model else [0.5] * len(part)
-            yield b.assign(score=scores)
+                out += model.score(list(encode(texts.iloc[at : at + 256].tolist()))).tolist() if model else [0.5] * len(texts.iloc[at : at + 256])
+            yield pd.Series(out, dtype="float64")
 
-    return scan
+    return scored
 
 
 def score(docs: DataFrame, model: AttentionModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and ``score`` (0 to 1, higher: label 1 is likelier) of each document."""
-    rows = small_batches(docs).select(*keep, F.col(text_col).alias("_passages"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInPandas(_scorer(model), f"{schema}, score double")
+    """The columns of ``keep`` and ``score`` (0 to 1, higher: label 1 is likelier) of each document; only texts go to Python."""
+    return docs.select(*keep, _scorer(model)(F.col(text_col)).alias("score"))
 
 
 def keep_good(docs: DataFrame, model: AttentionModel | None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` whose score reaches ``min_score``."""
-    return score(docs, model, text_col, tuple(docs.columns)).where(F.col("score") >= min_score).drop("score")
+    return packed(docs, score=_scorer(model)(F.col(text_col))).where(F.col("score") >= min_score).select("row.*")
