@@ -7,7 +7,7 @@ remainders.  Packing looks only at the histogram of remaining lengths, at most
 program finds the multiset of lengths that fills a window closest to capacity,
 backtracking gives the count of each length in it, and the same multiset is used
 as often as the histogram allows.  A document's remainder then finds its place
-from its rank among the remainders of equal length.
+from its rank among the remainders of equal length.  Full windows are not ranked.
 
 Defined results: a null or empty text is one end token; a null id is kept;
 repeated rows are packed each on its own; an empty table gives no rows; other
@@ -35,6 +35,8 @@ from .common import cut, small_batches
 _PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧‰-⁞]*")
 _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _CACHE_ENTRIES = 300_000
+#: Remainders of one length that are ranked together.
+PER_PART = 100_000
 
 
 def _ranked_merges(path: str):
@@ -105,9 +107,7 @@ def _cutter(path: str, window: int, end_id: int, plain_split: bool, with_ids: bo
                 for at in range(0, n, window):
                     piece = ids[4 * at : 4 * (at + window)]
                     out.append((key, at, len(piece) // 4, zlib.crc32(piece), n) + ((np.frombuffer(piece, "<u4").astype("int32"),) if with_ids else ()))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
     return scan
 
@@ -188,30 +188,47 @@ def _placer(patterns: list[tuple[dict[int, int], int]]) -> Callable:
     return place
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", spread: int = 64, plain_split: bool = True, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", per_part: int = PER_PART, plain_split: bool = True, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset``.
 
-    ``spread``: a length shared by many pieces is ranked in that many parts, so
-    no length is ranked by one task.  ``plain_split`` is for byte-level
-    vocabularies; others are given whole texts.  ``with_ids`` adds the token ids.
+    Remainders of one length are ranked in parts of about ``per_part``, so no task
+    grows with the number of documents of a length.  ``plain_split`` is for
+    byte-level vocabularies; others are given whole texts.  ``with_ids`` adds the
+    token ids.  Ids may be of any type that text can be cast to.
     """
-    columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = cut(rows.mapInPandas(_cutter(tokenizer_path, window, end_id, plain_split, with_ids), columns))
-
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(spread))
-    pieces = pieces.withColumn("part", part)
-    sizes = pieces.groupBy("length", "part").count()
-    # at most window * spread rows, on the driver as its histogram and as each part's first rank
-    sizes = sorted(sizes.collect())
-    histogram: Counter = Counter()
-    first = []
-    for s in sizes:
-        first.append((s["length"], s["part"], histogram[s["length"]]))
-        histogram[s["length"]] += s["count"]
     spark = docs.sparkSession
-    bases = F.broadcast(spark.createDataFrame(first, "length long, part long, base long"))
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(bases, ["length", "part"]).withColumn("rank", (F.col("rank") + F.col("base")).cast("long"))
+    columns = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    # ids are text in Python, which has no whole numbers beside nulls
+    cutter = _cutter(tokenizer_path, window, end_id, plain_split, with_ids)
+    with small_batches(spark):
+        pieces = cut(rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(cutter, columns).withColumn("doc_id", F.col("doc_id").cast(id_type)))
     names = [c.split()[0] for c in columns.split(", ")]
-    return ranked.select(*names, "rank").mapInPandas(_placer(bin_patterns(histogram, window)), columns + ", sequence_id long, offset long")
+
+    # the checkpoint's rows keep their places, so that these ids stay what they are when a task runs again
+    rest = pieces.where(F.col("length") < window).withColumn("tie", F.monotonically_increasing_id())
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # fewer rows than the window has places
+    patterns = bin_patterns(histogram, window)
+    parts = F.broadcast(spark.createDataFrame([(k, -(-n // per_part)) for k, n in histogram.items()], "length long, parts int"))
+    rest = rest.join(parts, "length").withColumn("part", F.pmod(F.xxhash64("tie"), F.col("parts"))).drop("parts")
+    # a row for each length and one for each per_part remainders
+    bases, seen = [], Counter()
+    for r in sorted(rest.groupBy("length", "part").count().collect()):
+        bases.append((r["length"], r["part"], seen[r["length"]]))
+        seen[r["length"]] += r["count"]
+    bases = F.broadcast(spark.createDataFrame(bases, "length long, part long, base long"))
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("tie")) - 1
+    ranked = rest.withColumn("rank", rank).join(bases, ["length", "part"]).withColumn("rank", (F.col("rank") + F.col("base")).cast("long"))
+    placed = ranked.select(*[F.col(c).cast("string") if c == "doc_id" else F.col(c) for c in names], "rank").mapInPandas(_placer(patterns), columns + ", sequence_id long, offset long")
+    placed = placed.withColumn("doc_id", F.col("doc_id").cast(id_type))
+
+    # a full window is a sequence by itself: numbered by its place in its partition
+    full = pieces.where(F.col("length") == window).withColumn("tie", F.monotonically_increasing_id())
+    part, firsts, sequence = F.shiftright("tie", 33), [], sum(times for _, times in patterns)
+    for r in sorted(full.groupBy(part.alias("part")).count().collect()):  # a row for each partition
+        firsts.append((r["part"], sequence))
+        sequence += r["count"]
+    firsts = F.broadcast(spark.createDataFrame(firsts, "part long, first long"))
+    full = full.withColumn("part", part).join(firsts, "part").select(*names, (F.col("first") + F.col("tie").bitwiseAND(F.lit((1 << 33) - 1))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return full.unionByName(placed)

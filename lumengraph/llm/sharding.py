@@ -62,8 +62,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
         offsets[t["pid"]] = (before, row)
         before, row = before + t["bytes"], row + t["rows"]
 
-    schema = "doc_id {}, size long, text_crc32 long, shard int, row long".format(placed.schema["doc_id"].dataType.simpleString())
-    marked = placed.mapInPandas(_running(offsets, max(before, 1), shards), schema)
+    # ids are text in Python, which has no whole numbers beside nulls
+    marked = placed.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_running(offsets, max(before, 1), shards), "doc_id string, size long, text_crc32 long, shard int, row long")
+    marked = marked.withColumn("doc_id", F.col("doc_id").cast(placed.schema["doc_id"].dataType))
     first = {r["shard"]: r["row"] for r in marked.groupBy("shard").agg(F.min("row").alias("row")).collect()}
     starts = F.array(*[F.lit(first.get(s, 0)).cast("long") for s in range(shards)])
     return marked.select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.get(starts, F.col("shard"))).alias("slot"))
