@@ -6,17 +6,21 @@ strings can be equal:
 
 1. Buckets by q-gram.  In each window of LENGTH bytes the q-gram with the smallest
    hash is its anchor; equal windows have the same anchor at the same place.  A run
-   of neighbouring windows with one anchor is one row: the q-gram's hash (bucket)
-   and a hash of the run's whole content (sub-bucket).  Of runs of equal content
-   all but the first are removed; a run whose bucket holds nothing else is unique.
-2. Refinement.  What is left are runs that share an anchor and differ elsewhere,
-   around the edges of repeated passages.  They are cut into blocks of windows with
-   a common core and sorted by bucket-pointer refinement: buckets of 8 bytes, then
-   repeatedly by the pair of bucket identifiers of a place and of a later one,
-   which reuses the identifiers that the previous round has refined, until windows
-   of LENGTH bytes are told apart.
-3. A bucket of more than ``HOT`` different runs (a phrase that stands in very many
-   documents) is not sorted in one task: its windows are spread by their content.
+   of neighbouring windows with one anchor is one row, in the bucket of its q-gram.
+2. Refinement over tasks.  The q-gram buckets of all places are refined by pairs of
+   bucket identifiers, of a place and of a later one, up to identifiers of LENGTH
+   bytes, which serve all runs of a text; a run's identifier is the pair of its first
+   and its last window's.  A bucket is sorted by them: of runs of equal identifiers
+   all but the first are removed; a run whose bucket holds no other is unique.
+3. Refinement inside a task.  What is left are runs that share an anchor and differ
+   elsewhere, around the edges of repeated passages.  They are cut into blocks of
+   windows with a common core and sorted by identifiers that are ranks: buckets of 8
+   bytes, then repeatedly by the pair of identifiers of a place and of a later one.
+4. Hot buckets.  A q-gram that stands in very many documents would send them all to
+   one task.  Those that a sample of the documents shows are spread at once: each of
+   their windows goes by its own identifier.  A bucket of more than ``hot`` different
+   runs that the sample did not show is found in step 2, and its windows are spread
+   then.  Either way only the place where rows meet differs, never what is removed.
 
 Runs are combined inside each batch of documents before any shuffle, so a passage
 that a third of all documents share costs one row for each batch, not one for
@@ -26,19 +30,21 @@ their verdicts by document.
 Defined results: texts are UTF-8 bytes, null is empty; matches never cross
 documents; documents are ordered by id (null first), those of one id by a hash of
 their text; rows alike in id and text count as one document and get the same
-result; texts shorter than LENGTH are kept whole; an empty table gives no rows;
-other columns are ignored.
+result; ids are whole numbers above -2**62, other types are refused; texts of one id
+are told apart by 19 bits of a hash; texts shorter than LENGTH are kept whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, stored
 
@@ -49,7 +55,10 @@ WINDOWS = LENGTH - QGRAM + 1
 BLOCK_BYTES = 1 << 20
 #: Windows of a block, counted from the anchor.
 BLOCK = 24
-HOT = 1000
+#: Different runs of a bucket that are sorted in one task, and one of how many documents is looked at for hot buckets.
+HOT, SAMPLE = 1000, 64
+#: Buckets that are spread from the start, at most; the others that are hot are found later.
+SPREAD = 10_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -72,13 +81,23 @@ def _qgrams(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def _content(q: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Hash of ``size`` bytes (LENGTH to 2 * LENGTH - QGRAM) from q-grams that cover them."""
-    end = start + size
-    out = size.astype(np.uint64)
-    for at in (start, start + QGRAM, start + 2 * QGRAM, end - 3 * QGRAM, end - 2 * QGRAM, end - QGRAM):
-        out = _mix(out ^ q[at])
-    return out
+def _refined(bucket: np.ndarray) -> np.ndarray:
+    """Bucket identifiers of LENGTH bytes from each place on, refined from the q-gram buckets.
+
+    Each round names the pair of a place's bucket and that of a later place, so that the identifiers of
+    one round are those by which the next one sorts.  Names are hashes of the pairs: equal in all tasks.
+    """
+    depth = QGRAM
+    while depth < LENGTH:
+        step = min(depth, LENGTH - depth)
+        bucket = _mix(bucket[:-step] ^ _mix(bucket[step:] + np.uint64(step)))
+        depth += step
+    return bucket
+
+
+def _content(windows: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Identifier of ``size`` bytes (LENGTH to 2 * LENGTH): the pair of its first and its last window's, which cover it."""
+    return _mix(_mix(windows[start] + size.astype(np.uint64)) ^ windows[start + size - LENGTH])
 
 
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -96,12 +115,16 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield part
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, first window, windows - 1, anchor - first window, q-gram hash, content hash) of each run, in order."""
+def runs(texts: list[bytes], spread: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text number, first window, windows - 1, anchor - first window, bucket, identifier) of each run, in order.
+
+    Windows of buckets in ``spread`` (sorted) follow as rows of their own, with their identifiers as buckets.
+    """
     out = []
     for part in _pieces(texts):
         data = np.frombuffer(b"".join(p for _, _, p in part) + b"\0" * LENGTH, np.uint8)
         q = _qgrams(data)
+        windows = _refined(q)
         least = (q & ~np.uint64(0xFFFFFF)) | np.arange(len(q), dtype=np.uint64)
         for width in (1, 2, 4, 8, 16, 32):
             least = np.minimum(least[:-width], least[width:])
@@ -118,19 +141,32 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         start, a, piece = at[head], a[head], piece[head]
         number = np.array([i for i, _, _ in part])[piece]
         offset = np.array([o for _, o, _ in part])[piece] - first[piece]
-        content = _mix(_content(q, start, count - 1 + LENGTH) ^ (a - start).astype(np.uint64))
-        out.append((number, start + offset, count - 1, a - start, q[a], content))
+        content = _mix(_content(windows, start, count - 1 + LENGTH) ^ (a - start).astype(np.uint64))
+        rows = (number, start + offset, count - 1, a - start, q[a], content)
+        if spread is not None and len(spread):
+            hot = spread[np.minimum(np.searchsorted(spread, q[a]), len(spread) - 1)] == q[a]
+            each = np.repeat(start[hot], count[hot]) + np.arange(count[hot].sum()) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
+            zero = np.zeros(len(each), np.int64)
+            single = (np.repeat(number[hot], count[hot]), each + np.repeat(offset[hot], count[hot]), zero, zero, windows[each], _second(q, each))
+            rows = tuple(np.concatenate((x[~hot], y)) for x, y in zip(rows, single))
+        out.append(rows)
     return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
 
 
+def _second(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Another hash of the window at each place, from its first and last q-gram."""
+    return _mix(q[at] + q[at + LENGTH - QGRAM])
+
+
 # A place in one number, in order of document part, first window; then windows - 1 and the anchor's distance.
 # Negative (complemented) where the verdict is known to be "removed".
 def _pack(sub, start, span, off):
-    return (sub.astype(np.int64) << 43) | (start.astype(np.int64) << 14) | (span.astype(np.int64) << 7) | off.astype(np.int64)
+    return (sub.astype(np.int64) << 44) | (start.astype(np.int64) << 13) | (span.astype(np.int64) * WINDOWS + off.astype(np.int64))
 
 
 def _unpack(place):
-    return place >> 43, (place >> 14) & ((1 << 29) - 1), (place >> 7) & 127, place & 127
+    low = place & ((1 << 13) - 1)
+    return place >> 44, (place >> 13) & ((1 << 31) - 1), low // WINDOWS, low % WINDOWS
 
 
 def _combined(bucket: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pd.DataFrame:
@@ -146,19 +182,22 @@ def _combined(bucket: np.ndarray, content: np.ndarray, doc: np.ndarray, place: n
     return pd.DataFrame({"bucket": np.where(later, spread, bucket[order]), "content": np.where(later, 0, content[order]), "doc": d, "place": np.where(later, ~p, p)})
 
 
-def _scan_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b = b.sort_values(["doc", "sub"])
-        texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-        number, start, span, off, bucket, content = runs(texts)
-        yield _combined(bucket, content, b["doc"].to_numpy()[number], _pack(b["sub"].to_numpy()[number], start, span, off))
+def _scan_runs(spread: np.ndarray | None) -> Callable:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.sort_values(["doc", "sub"])
+            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            number, start, span, off, bucket, content = runs(texts, spread)
+            yield _combined(bucket.astype(np.uint64), content.astype(np.uint64), b["doc"].to_numpy()[number], _pack(b["sub"].to_numpy()[number], start, span, off))
+
+    return scan
 
 
-def _verdicts(ask: bool):
+def _verdicts(ask: bool, most: int = HOT) -> Callable:
     """Rows sorted by bucket, content, document, place: ``doc, sub, start, count, off, state``.
 
     State 1: removed.  With ``ask``, runs that are the first of their content in a
-    bucket of several contents get state 2, or 3 where the contents are more than HOT.
+    bucket of several contents get state 2, or 3 where the contents are more than ``most``.
     """
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +242,7 @@ def _verdicts(ask: bool):
             group = np.cumsum(new_bucket[firsts])
             sizes = np.bincount(group)
             whole = (group > group[0]) & (group < group[-1])
-            for part, state in ((whole & (sizes[group] > 1) & (sizes[group] <= HOT), 2), (whole & (sizes[group] > HOT), 3)):
+            for part, state in ((whole & (sizes[group] > 1) & (sizes[group] <= most), 2), (whole & (sizes[group] > most), 3)):
                 if part.any():
                     yield frame(doc[firsts[part]], place[firsts[part]], state)
             for at in dict.fromkeys((group[0], group[-1])):
@@ -212,7 +251,7 @@ def _verdicts(ask: bool):
                     yield from flush()
                 held.append((doc[part], place[part]))
                 n_held += len(part)
-                if n_held > HOT or hot:
+                if n_held > most or hot:
                     yield frame(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), 3)
                     held, n_held, hot = [], 0, True
         yield from flush()
@@ -316,9 +355,8 @@ def _hot_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for ask in sorted(asks, key=lambda x: x["start"]):
                 q = _qgrams(np.frombuffer(t[ask["start"] : ask["start"] + ask["count"] - 1 + LENGTH], np.uint8))
                 at = np.arange(ask["count"])
-                a, c = _content(q, at, np.full(len(at), LENGTH)), _mix(q[at] + q[at + LENGTH - QGRAM])
                 zero = np.zeros(len(at), np.int64)
-                one.append(a), two.append(c), docs.append(zero + doc), places.append(_pack(zero + sub, ask["start"] + at, zero, zero))
+                one.append(_refined(q)), two.append(_second(q, at)), docs.append(zero + doc), places.append(_pack(zero + sub, ask["start"] + at, zero, zero))
         if docs:
             yield _combined(*(np.concatenate(x) for x in (one, two, docs, places)))
 
@@ -348,26 +386,42 @@ def _apply(keep_text: bool):
     return scan
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def _hot_buckets(rows: DataFrame, hot: int) -> np.ndarray:
+    """The buckets with the most rows in a sample of the documents, at most SPREAD of them, sorted."""
+    sample = rows.where(F.pmod(F.xxhash64("doc", "sub"), F.lit(SAMPLE)) == 0).mapInPandas(_scan_runs(None), "bucket long, content long, doc long, place long")
+    counts = sample.where("place >= 0").groupBy("bucket").count().where(F.col("count") > max(1, 2 * hot // SAMPLE))
+    return np.sort(np.array([r["bucket"] for r in counts.orderBy(F.desc("count"), "bucket").limit(SPREAD).collect()], np.int64).view(np.uint64))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]`` (``kept``: the remaining bytes)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1)).alias("sub"), text.alias("text"))
+    spark, kind = docs.sparkSession, docs.select(F.col(id_col)).schema[0].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"documents are ordered by whole-number ids; {id_col} is {kind.simpleString()}")
+    text, number = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    # documents without id stand in front of all others, each at a place of its own
+    doc = F.coalesce(number, F.xxhash64(text).bitwiseOR(F.lit(-(2**63))).bitwiseAND(F.lit(~(1 << 62))))
+    source = docs.select(number.alias("doc_id"), doc.alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 19) - 1)).alias("sub"), text.alias("text"))
     row = "bucket long, content long, doc long, place long"
     order = ["bucket", "content", "doc", "place"]
     verdict = "doc long, sub long, start long, count long, off long, state int"
-    found = source.select("doc", "sub", "text").mapInPandas(_scan_runs, row)
-    # equal documents give equal rows; they stay and get the same verdict
-    found = stored(found.repartition("bucket").sortWithinPartitions(*order).mapInPandas(_verdicts(True), verdict))
-
-    # texts are shuffled by document once: both joins below read the same exchange
-    asked = lambda state: found.where(F.col("state") == state).groupBy("doc", "sub").agg(F.collect_set(F.struct("start", "count", "off")).alias("asks"))
-    blocks = source.join(asked(2), ["doc", "sub"]).select("doc", "sub", "text", "asks").mapInPandas(_blocks, "core binary, doc long, sub long, start long, body binary")
-    gone = "doc long, sub long, start long, count long"
-    sorted_ = blocks.repartition("core").sortWithinPartitions("core", "doc", "sub", "start").mapInPandas(_settle_blocks, gone)
-    hot = source.join(asked(3), ["doc", "sub"]).select("doc", "sub", "text", "asks").mapInPandas(_hot_windows, row)
-    hot = hot.repartition("bucket").sortWithinPartitions(*order).mapInPandas(_verdicts(False), verdict)
-    names = ["doc", "sub", "start", "count"]
-    removed = found.where("state = 1").select(*names).union(sorted_).union(hot.select(*names))
-    removed = removed.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
-    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return source.join(removed, ["doc", "sub"], "left").select("doc_id", "text", "gone").mapInPandas(_apply(keep_text), columns)
+    with small_batches(spark):
+        rows = source.select("doc", "sub", "text")
+        found = rows.mapInPandas(_scan_runs(_hot_buckets(rows, hot)), row)
+        # equal documents give equal rows; they stay and get the same verdict
+        found = stored(found.repartition("bucket").sortWithinPartitions(*order).mapInPandas(_verdicts(True, hot), verdict))
+
+        # texts are shuffled by document once: both joins below read the same exchange
+        asked = lambda state: found.where(F.col("state") == state).groupBy("doc", "sub").agg(F.collect_set(F.struct("start", "count", "off")).alias("asks"))
+        blocks = source.join(asked(2), ["doc", "sub"]).select("doc", "sub", "text", "asks").mapInPandas(_blocks, "core binary, doc long, sub long, start long, body binary")
+        gone = "doc long, sub long, start long, count long"
+        sorted_ = blocks.repartition("core").sortWithinPartitions("core", "doc", "sub", "start").mapInPandas(_settle_blocks, gone)
+        late = source.join(asked(3), ["doc", "sub"]).select("doc", "sub", "text", "asks").mapInPandas(_hot_windows, row)
+        late = late.repartition("bucket").sortWithinPartitions(*order).mapInPandas(_verdicts(False), verdict)
+        names = ["doc", "sub", "start", "count"]
+        removed = found.where("state = 1").select(*names).union(sorted_).union(late.select(*names))
+        removed = removed.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
+        # ids are text in Python, which has no whole numbers beside nulls
+        columns = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+        out = source.join(removed, ["doc", "sub"], "left").select(F.col("doc_id").cast("string"), "text", "gone").mapInPandas(_apply(keep_text), columns)
+        return stored(out.withColumn("doc_id", F.col("doc_id").cast("long")))
