@@ -1,18 +1,23 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index holds one posting (term, document, position) per training token.  A
-test item is cut into windows of ``width`` consecutive terms.  Corpus-wide term
-counts order the terms of each window from rare to frequent, and only the list
-of a window's rarest term is read: its postings, moved by the term's offset, are
-the candidate starts.  The lists of the window's other terms, moved by their
-offsets and restricted to the candidate's document, are then intersected by
-looking up the document's position list at those offsets.  Runs of agreeing
-offsets of at least ``width`` around the rarest term are exact phrase matches;
-every occurring window is found, because it contains its rarest term.
-
-Postings are filtered against the test side in the scan, so only matches are
-shuffled; no text is.  The test side is broadcast only below
-``BROADCAST_ROWS`` rows, otherwise the join shuffles on the term.
+The index is a stored table with one posting (term, document, position) for each
+training token, sorted by term inside each of its files, and one row for each
+document with its number of words.  Where the test side is small enough to be
+broadcast, only postings of its terms are stored; no other is ever looked up.
+
+A test item is cut into windows of ``width`` consecutive terms.  Corpus-wide term
+counts order the terms of each window from rare to frequent.  The lists of its two
+rarest terms, moved by the terms' offsets, are intersected first: what is left are
+places (document, item, diagonal) where both stand as far apart as in the window.
+Only the documents of such places are looked up further: the lists of the window's
+other terms, moved by their offsets, are intersected with them.  A window all of whose
+terms are found is an exact phrase match.  With ``slop``, terms may stand so many words
+away from their place beside the rarest, and a window is a proximity match when the
+second rarest and at least four fifths of all terms are found.
+
+Every join is on document, term and place, so neither a frequent term nor a long
+document meets in one task; terms that are rarest nowhere are only read for the
+documents above.  The test side is broadcast only below ``BROADCAST_ROWS`` rows.
 
 Everything is DataFrame expressions: no Python runs on the rows.
 
@@ -28,12 +33,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, packed, stored
 
 #: What separates words in a text whose capitals still stand; every other character belongs to a word.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of the test side (at most 2 * width short words each) up to which it is broadcast.
+#: Rows of a side (short rows of ids, places and one word) up to which it is broadcast: some 20 MB.
 BROADCAST_ROWS = 200_000
+#: Places are joined by cells of so many words.
+CELL = 8
 
 
 def split_words(text: Column) -> Column:
@@ -50,169 +57,147 @@ def terms(text: Column) -> Column:
     return F.transform(F.filter(split_words(text), lambda w: w != ""), lower_ascii)
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index: ``term, doc_id, text_key, pos, words`` with the document's position list.
-
-    ``term`` is lower-cased beyond A-Z, so that a list may hold a few postings too
-    many, never too few; matches are decided by the words themselves.
-    """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), split_words(F.col(text_col)).alias("words"))
-    return keyed.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "word")).withColumn("term", F.lower("word")).drop("word")
+def _term(word: Column) -> Column:
+    # words of ASCII letters only take the short way
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(lower_ascii(word))
 
 
 def _sized(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def _test_terms(items: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``item_id, item_key, item_words, need, ipos, term``; equal texts under one id are one item."""
-    rows = items.select(F.col(id_col).alias("item_id"), terms(F.col(text_col)).alias("item_words")).where(F.size("item_words") > 0).distinct()
-    rows = rows.withColumn("need", F.least(F.size("item_words"), F.lit(width))).withColumn("item_key", F.xxhash64("item_id", "item_words"))
-    return rows.select("*", F.posexplode("item_words").alias("ipos", "word")).withColumn("term", F.lower("word")).drop("word")
+def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``item_key, item_id, words`` of items with words; equal texts under one id are one item."""
+    rows = items.select(F.col(id_col).alias("item_id"), terms(F.col(text_col)).alias("words")).where(F.size("words") > 0).distinct()
+    return rows.select(F.xxhash64("item_id", "words").alias("item_key"), "item_id", "words")
 
 
-def rarest_terms(index: DataFrame, tested: DataFrame, n_terms: int) -> DataFrame:
-    """The occurrences of terms that are the rarest, by corpus count, of some window: ``item_id, need, ipos, term, around, here``.
+def build_index(docs: DataFrame, tested: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``term, doc, text_key, pos, doc_id``: the postings of ``docs``, or those of the terms in ``tested`` (column ``term``, distinct).
 
-    ``around`` holds the item's words that share a window with the term, ``here``
-    the term's place among them.
+    ``doc`` and ``text_key`` are hashes of id and text, and of the text.  A null term marks a
+    document's own row, with its number of words as ``pos``; only that row has the ``doc_id``.
     """
-    wanted = tested.select("term").distinct()
-    counts = index.select("term").join(_sized(wanted, n_terms), "term", "left_semi").groupBy("term").count()
-    counted = tested.join(_sized(counts, n_terms), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    # all windows of an item are as wide; a window that starts too late for that is none
-    ahead = Window.partitionBy("item_key").orderBy("ipos")
-    span = lambda k: F.min(F.struct("count", "ipos", "term")).over(ahead.rowsBetween(0, k - 1))
-    widths = [r["need"] for r in tested.select("need").distinct().collect()]  # at most as many as the width
-    best = F.coalesce(*[F.when(F.col("need") == k, span(k)) for k in sorted(widths or [1])])
-    starts = counted.withColumn("best", best).where(F.col("ipos") <= F.size("item_words") - F.col("need")).where(F.col("best.count") > 0)
-    first = F.greatest(F.col("best.ipos") - F.col("need") + 1, F.lit(0))
-    return starts.select(
-        "item_id", "need", F.col("best.ipos").alias("ipos"), F.col("best.term").alias("term"), F.slice("item_words", first + 1, F.col("need") * 2 - 1).alias("around"), (F.col("best.ipos") - first).alias("here")
-    ).distinct()
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Exact matches: ``doc_id, text_key, item_id, first, last`` (word positions, inclusive), one row for each run around a rarest term."""
-    tested = _test_terms(items, width, item_col, item_text_col)
-    n_terms = tested.count()
-    index = postings(docs, id_col, text_col)
-    rare = rarest_terms(index, tested, n_terms)
-    # the words around a posting, so that no row carries a whole text beyond the scan
-    first = F.greatest(F.col("pos") - width + 1, F.lit(0))
-    around = lambda df: df.withColumn("found", F.slice("words", first + 1, 2 * width - 1)).withColumn("place", F.col("pos") - first).drop("words")
-    if n_terms <= BROADCAST_ROWS:
-        hits = around(index.join(F.broadcast(rare), "term"))  # cut out only for postings that meet a test term
-    else:
-        hits = around(index).join(rare, "term")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("doc"), F.xxhash64(text).alias("text_key"), split_words(F.col(text_col)).alias("words"))
+    rows = rows.select("doc_id", "doc", "text_key", n_words(F.col("words")).alias("n_words"), F.posexplode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("at", "word"))
+    rows = rows.withColumn("term", _term(F.col("word")))
+    if tested is not None:
+        rows = rows.join(F.broadcast(tested.select("term", F.lit(True).alias("asked"))), "term", "left").where(F.col("word").isNull() | F.col("asked"))
+    own = F.col("word").isNull()
+    return rows.where(own | (F.col("word") != "")).select("term", "doc", "text_key", F.when(own, F.col("n_words")).otherwise(F.col("at")).alias("pos"), F.when(own, F.col("doc_id")).alias("doc_id"))
+
+
+def store_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the whole index, for any number of test sides."""
+    build_index(docs, None, id_col, text_col).sortWithinPartitions("term", "doc", "pos").write.parquet(path)
+
+
+def _windows(words: DataFrame, counts: DataFrame, n_terms: int, width: int, exact: bool) -> DataFrame:
+    """``item_key, i, need, ipos1, term1, ipos2, term2``: each window that can match, with the places of its two rarest terms."""
+    need = F.least(F.size("words"), F.lit(width))
+    windows = words.select("item_key", need.alias("need"), F.explode(F.sequence(F.lit(0), F.size("words") - need)).alias("i"), "words")
+    parts = windows.select("item_key", "need", "i", F.posexplode(F.slice("words", F.col("i") + 1, F.col("need"))).alias("off", "term")).join(_sized(counts, n_terms), "term")
+    ranked = parts.groupBy("item_key", "i", "need").agg(F.sort_array(F.collect_list(F.struct("count", "off", "term"))).alias("r"))
+    ranked = ranked.where(F.size("r") >= (F.col("need") if exact else F.col("need") - _lacking()))
+    first, second = F.col("r")[0], F.coalesce(F.get("r", F.lit(1)), F.col("r")[0])
+    return ranked.select("item_key", "i", "need", (F.col("i") + first["off"]).alias("ipos1"), first["term"].alias("term1"), (F.col("i") + second["off"]).alias("ipos2"), second["term"].alias("term2"))
 
-    def run(step: int) -> Column:
-        """How many words agree in a row from the term in the given direction, up to need - 1."""
-        agree = lambda k: lower_ascii(F.get("found", F.col("place") + k * step)) == F.get("around", F.col("here") + k * step)
-        bad = F.filter(F.sequence(F.lit(1), F.col("need")), lambda k: (k == F.col("need")) | ~F.coalesce(agree(k), F.lit(False)))
-        return F.get(bad, F.lit(0)) - 1
 
-    same = lower_ascii(F.get("found", F.col("place"))) == F.get("around", F.col("here"))
-    # a generator: filters on what it gives stay above it and are not worked out twice
-    runs = hits.select("doc_id", "text_key", "item_id", "need", "pos", F.inline(F.when(same, F.array(F.struct(run(-1).alias("left"), run(1).alias("right"))))))
-    runs = runs.where(F.col("left") + F.col("right") + 1 >= F.col("need"))
-    return runs.select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last"))
+def _lacking() -> Column:
+    """How many terms a proximity match may lack."""
+    return F.floor(F.col("need") / 5).cast("int")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Inexact matches: ``doc_id, text_key, item_id, at`` (where the window would begin) where at least four
-    fifths of the words of a window stand at most ``slop`` words away from their distance to one of its rare terms.
+def _cells(place: Column, slop: int) -> Column:
+    """The cells that hold the places up to ``slop`` away."""
+    return F.array_distinct(F.transform(F.array(place - slop, place + slop), lambda p: F.floor(p / CELL)))
 
-    A window may lack a fifth of its words; its rare terms are one more than that, so
-    that one of them stands in every match.  Windows of under five words lack none.
+
+def search(index: DataFrame, words: DataFrame, width: int = 10, slop: int | None = None) -> DataFrame:
+    """Windows found in a stored index: ``doc, text_key, item_key, first, last, exact`` (word positions, inclusive).
+
+    Without ``slop`` exact matches only.
     """
-    tested = _test_terms(items, width, item_col, item_text_col)
+    exact, slop = slop is None, slop or 0
+    tested = words.select(F.explode("words").alias("term"))
     n_terms = tested.count()
-    index = postings(docs, id_col, text_col)
-    counts = index.select("term").join(_sized(tested.select("term").distinct(), n_terms), "term", "left_semi").groupBy("term").count()
-    windows = tested.where(F.col("ipos") <= F.size("item_words") - F.col("need")).select("item_id", "need", F.slice("item_words", F.col("ipos") + 1, F.col("need")).alias("window")).distinct()
-    parts = windows.select("*", F.posexplode("window").alias("off", "word")).withColumn("term", F.lower("word")).join(_sized(counts, n_terms), "term", "left")
-    ranked = parts.groupBy("item_id", "need", "window").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "term"))).alias("ranked"))
-    lacking = F.floor(F.col("need") / 5).cast("int")
-    rare = ranked.select("item_id", "need", "window", F.explode(F.slice("ranked", F.lit(1), lacking + 1)).alias("r")).where("r.n > 0").select("item_id", "need", "window", "r.off", "r.term")
-    # the words around a posting that any window through it can reach
-    first = F.greatest(F.col("pos") - (width - 1 + slop), F.lit(0))
-    around = lambda df: df.withColumn("found", F.transform(F.slice("words", first + 1, 2 * (width + slop) - 1), lower_ascii)).withColumn("place", F.col("pos") - first).drop("words")
-    if n_terms <= BROADCAST_ROWS:
-        hits = around(index.join(F.broadcast(rare), "term"))
+    tested, postings = tested.distinct(), index.where("term is not null").drop("doc_id")
+    counts = postings.join(_sized(tested, n_terms), "term", "left_semi").groupBy("term").count()
+    windows = stored(_windows(words, counts, n_terms, width, exact))
+    n_windows = windows.count()
+
+    # the lists of the rarest and the second rarest terms, moved to where the item would begin
+    def moved(k: int) -> DataFrame:
+        places = windows.select("item_key", f"ipos{k}", F.col(f"term{k}").alias("term")).distinct()
+        return postings.join(_sized(places, n_windows), "term").select("doc", "text_key", "item_key", f"ipos{k}", (F.col("pos") - F.col(f"ipos{k}")).alias(f"begin{k}"))
+
+    one = moved(1).withColumn("cell", F.floor(F.col("begin1") / CELL))
+    two = moved(2).withColumn("cell", F.explode(_cells(F.col("begin2"), slop)))
+    met = one.join(two, ["doc", "text_key", "item_key", "cell"]).where(F.abs(F.col("begin1") - F.col("begin2")) <= slop)
+    met = met.join(_sized(windows.select("item_key", "ipos1", "ipos2").distinct(), n_windows), ["item_key", "ipos1", "ipos2"], "left_semi")
+    starts = stored(met.select("doc", "text_key", "item_key", "ipos1", "begin1").distinct())
+
+    # the lists of all terms around them, in their documents only
+    holders = starts.select("doc", "text_key").distinct()
+    lists = postings.join(_sized(holders, holders.count()), ["doc", "text_key"], "left_semi").withColumn("cell", F.floor(F.col("pos") / CELL))
+    item = words.select("item_key", "words", F.least(F.size("words"), F.lit(width)).alias("need"))
+    around = F.sequence(F.greatest(F.col("ipos1") - F.col("need") + 1, F.lit(0)), F.least(F.col("ipos1") + F.col("need"), F.size("words")) - 1)
+    wanted = starts.join(_sized(item, n_windows), "item_key").select(*starts.columns, "words", F.explode(around).alias("ipos"))
+    wanted = wanted.select(*starts.columns, "ipos", F.get("words", F.col("ipos")).alias("term"), (F.col("begin1") + F.col("ipos")).alias("place"))
+    wanted = wanted.withColumn("cell", F.explode(_cells(F.col("place"), slop)))
+    found = wanted.join(lists, ["doc", "text_key", "term", "cell"]).where(F.abs(F.col("pos") - F.col("place")) <= slop)
+    # at most 2 * width - 1 places of the item each
+    found = found.groupBy(*starts.columns).agg(F.collect_set("ipos").alias("near"), F.collect_set(F.when(F.col("pos") == F.col("place"), F.col("ipos"))).alias("straight"))
+
+    held = lambda places: F.size(F.filter(places, lambda p: (p >= F.col("i")) & (p < F.col("i") + F.col("need"))))
+    judged = found.join(_sized(windows.drop("term1", "term2"), n_windows), ["item_key", "ipos1"]).withColumn("exact", held("straight") == F.col("need"))
+    if exact:
+        judged = judged.where("exact")
     else:
-        hits = around(index).join(rare, "term")
-    hits = hits.where(F.get("found", F.col("place")) == F.get("window", F.col("off")))
+        judged = judged.where((held("near") >= F.col("need") - _lacking()) & F.array_contains("near", F.col("ipos2")))
+    first = F.col("begin1") + F.col("i")
+    return judged.select("doc", "text_key", "item_key", first.alias("first"), (first + F.col("need") - 1).alias("last"), "exact").distinct()
 
-    def stands(word: Column, k: Column) -> Column:
-        start = F.col("place") + k - F.col("off") - slop
-        begin = F.greatest(start, F.lit(0))
-        return F.array_contains(F.slice("found", begin + 1, F.greatest(start + 2 * slop + 1 - begin, F.lit(0))), word)
 
-    near = hits.where(F.size(F.filter("window", stands)) >= F.col("need") - lacking)
-    return near.select("doc_id", "text_key", "item_id", (F.col("pos") - F.col("off")).alias("at")).distinct()
+def _index_for(docs: DataFrame, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    tested = words.select(F.explode("words").alias("term")).distinct()
+    index = build_index(docs, tested if tested.count() <= BROADCAST_ROWS else None, id_col, text_col)
+    return stored(index.sortWithinPartitions("term", "doc", "pos"))
 
 
-def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The columns of :func:`contamination` and ``n_near``, the number of items with an inexact (or exact) match."""
-    near = proximity_matches(docs, items, slop, width, id_col, text_col, item_col, item_text_col).groupBy(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key")).agg(F.countDistinct("item_id").alias("n_near"))
-    rows = contamination(docs, items, width, id_col, text_col, item_col, item_text_col)
-    joined = rows.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("text_key") == F.col("near_key")), "left")
-    return joined.select(*rows.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+def matches(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The index's rows of documents, and what :func:`search` finds in it, with the ``item_id``."""
+    words = stored(item_terms(items, item_col, item_text_col))
+    index = _index_for(docs, words, id_col, text_col)
+    found = search(index, words, width, slop).join(words.select("item_key", "item_id"), "item_key").drop("item_key")
+    return index.where("term is null").select("doc_id", "doc", "text_key", F.col("pos").alias("n_words")), found
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, text_key, n_words, n_hit, n_items, items, contaminated``.
+def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, text_key, n_words, n_hit, n_items, items, contaminated, n_near``.
 
-    ``items`` holds the ids of the occurring items as strings, sorted as strings.
+    ``items`` holds the ids of the items with exact matches as strings, sorted as strings;
+    ``n_near`` counts the items with proximity matches, exact ones among them.
     """
-    found = phrase_matches(docs, items, width, id_col, text_col, item_col, item_text_col).distinct()
-    per = Window.partitionBy("doc_id", "text_key").orderBy("first", "last")
-    # runs in order of their start: each adds what lies beyond the furthest end so far
-    seen = F.coalesce(F.max("last").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    found = found.withColumn("fresh", F.greatest(F.col("last") - F.greatest(F.col("first") - 1, seen), F.lit(0)))
-    found = found.groupBy("doc_id", "text_key").agg(F.sum("fresh").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = found.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_key", "hit_key")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), n_words(split_words(F.col(text_col))).cast("long").alias("n_words"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
+    rows, found = matches(docs, items, width, slop, id_col, text_col, item_col, item_text_col)
+    per = Window.partitionBy("doc", "text_key").orderBy("first", "last")
+    # exact windows in order of their start: each adds what lies beyond the furthest end so far
+    last = F.when(F.col("exact"), F.col("last"))
+    seen = F.coalesce(F.max(last).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    found = found.withColumn("fresh", F.when(F.col("exact"), F.greatest(F.col("last") - F.greatest(F.col("first") - 1, seen), F.lit(0))))
+    exact_item = F.when(F.col("exact"), F.col("item_id").cast("string"))
+    found = found.groupBy("doc", "text_key").agg(F.sum("fresh").alias("n_hit"), F.sort_array(F.collect_set(exact_item)).alias("items"), F.countDistinct("item_id").alias("n_near"))
+    joined = rows.join(found, ["doc", "text_key"], "left")
     none = F.array().cast("array<string>")
     return joined.select(
-        "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
-        F.col("n_hit").isNotNull().alias("contaminated"),
+        "doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` without an exact match; null and wordless texts stay."""
-    hit = phrase_matches(docs, items, width, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (key == F.col("_hit_key")), "left_anti")
-
-
-def store_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes the index as a table ``term, doc_id, text_key, pos`` with exact terms (A-Z in lower case), for :func:`search_index`."""
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), terms(F.col(text_col)).alias("words"))
-    keyed.select("doc_id", "text_key", F.posexplode("words").alias("pos", "term")).write.parquet(path)
-
-
-def search_index(index: DataFrame, items: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Exact matches from a stored index alone: ``doc_id, text_key, item_id, first, last``.
-
-    The list of each window's rarest term gives the candidate starts; the lists of its
-    other terms, moved by their offsets, are intersected with them, and a start stays
-    when every term of the window is found.  Repeated rows of the index count once.
-    """
-    tested = _test_terms(items, width, id_col, text_col).withColumn("term", lower_ascii(F.get("item_words", F.col("ipos"))))
-    wanted = tested.select("term").distinct()
-    counts = index.select("term").join(_sized(wanted, tested.count()), "term", "left_semi").groupBy("term").count()
-    windows = tested.select("item_id", "need", "ipos", "item_words").where(F.col("ipos") <= F.size("item_words") - F.col("need"))
-    windows = windows.select("item_id", "need", F.slice("item_words", F.col("ipos") + 1, F.col("need")).alias("window")).distinct().withColumn("number", F.xxhash64("item_id", "window"))
-    parts = windows.select("item_id", "need", "number", F.posexplode("window").alias("off", "term"))
-    rare = parts.join(counts, "term", "left").groupBy("number", "item_id", "need").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "off", "term")).alias("r")).where("r.n > 0")
-    starts = index.join(rare.select("number", "item_id", "need", F.col("r.off").alias("off"), F.col("r.term").alias("term")), "term")
-    starts = starts.select("doc_id", "text_key", "number", "item_id", "need", (F.col("pos") - F.col("off")).alias("first")).where("first >= 0").distinct()
-    places = starts.join(parts.select("number", "off", "term"), "number").withColumn("pos", F.col("first") + F.col("off"))
-    lists = index.select(F.col("doc_id").alias("i_id"), F.col("text_key").alias("i_key"), "term", "pos").distinct()
-    found = places.join(lists, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("text_key") == F.col("i_key")) & (places["term"] == lists["term"]) & (places["pos"] == lists["pos"]))
-    whole = found.groupBy("doc_id", "text_key", "item_id", "number", "need", "first").count().where("count = need")
-    return whole.select("doc_id", "text_key", "item_id", "first", (F.col("first") + F.col("need") - 1).alias("last"))
+    hit = matches(docs, items, width, None, id_col, text_col, item_col, item_text_col)[1].select("doc", "text_key").distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return packed(docs, doc=F.xxhash64(F.col(id_col), text), text_key=F.xxhash64(text)).join(hit, ["doc", "text_key"], "left_anti").select("row.*")

@@ -74,19 +74,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
-
-
-def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With inexact matches; a query of its own, as the SQL of op10_decontamination fixes its columns."""
-    out = decontaminate.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "contaminated", "n_near")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 QUERIES |= {
     "op8_secret_scan": op8_secret_scan,
     "op10_decontamination": op10_decontamination,
-    "op10_proximity": op10_proximity,
 }
 
 ORACLE_SQL |= {
@@ -99,9 +92,20 @@ ORACLE_SQL |= {
             from (select rid, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from bw) where len(w) >= k)),
         hits as (select dw.rid, bw.item_id, dw.i, dw.k from dw join bw on dw.k = bw.k and dw.win = bw.win),
         spots as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + k)) as p from hits) group by rid),
-        its as (select rid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items from (select distinct rid, item_id from hits) group by rid)
-        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
-        from d left join spots using (rid) left join its using (rid)""",
+        its as (select rid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items from (select distinct rid, item_id from hits) group by rid),
+        dp as materialized (select rid, unnest(w) as term, unnest(range(1, len(w) + 1)) as pos from d),
+        iw as (select row_number() over () as bk, item_id, w, least(len(w), 10) as k from (select distinct item_id, w from b where len(w) > 0)),
+        win as (select bk, item_id, k, i, list_slice(w, i, i + k - 1) as win from (select *, unnest(range(1, len(w) - k + 2)) as i from iw)),
+        part as (select bk, item_id, k, i, unnest(win) as term, unnest(range(0, k)) as off from win),
+        cnt as (select term, count(*) as n from dp where term in (select term from part) group by term),
+        ranked as (select *, row_number() over (partition by bk, i order by n, off) as rn, count(*) over (partition by bk, i) as known from part join cnt using (term)),
+        anchor as (select x.bk, x.item_id, x.k, x.i, x.term, x.off, y.off as off2 from ranked x join ranked y using (bk, i) where x.rn = 1 and y.rn = least(2, x.known) and x.known >= x.k - x.k // 5),
+        cand as (select distinct rid, bk, item_id, k, i, off2, pos - off as start from dp join anchor using (term)),
+        near as (select c.rid, c.item_id from cand c join part p on p.bk = c.bk and p.i = c.i join dp on dp.rid = c.rid and dp.term = p.term and dp.pos between c.start + p.off - 3 and c.start + p.off + 3
+            group by c.rid, c.bk, c.item_id, c.k, c.i, c.start, c.off2 having count(distinct p.off) >= c.k - c.k // 5 and bool_or(p.off = c.off2)),
+        nears as (select rid, count(distinct item_id) as n_near from near group by rid)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated, coalesce(n_near, 0)::bigint as n_near
+        from d left join spots using (rid) left join its using (rid) left join nears using (rid)""",
 }
 
 
