@@ -39,18 +39,32 @@ def _import(relation: str, name):
 # --- JavaScript, TypeScript
 
 
+#: What a relative import may leave out, in the order in which it is looked for.
+JS_ENDINGS = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".json")
+JS_INDEXES = ("index.ts", "index.tsx", "index.js", "index.jsx", "index.mjs", "index.cjs")
+
+
+def js_files(path: str) -> list[str]:
+    """The files that a relative import of ``path`` may mean."""
+    swapped = [path[: -len(a)] + b for a, b in ((".js", ".ts"), (".jsx", ".tsx")) if path.endswith(a)]
+    return [path, *swapped, *(path + e for e in JS_ENDINGS), *(f"{path}/{i}" for i in JS_INDEXES)]
+
+
 def _js_import(scan: Scan, m: re.Match) -> None:
     line, spec = scan.line(m.start()), m["path"]
-    folder = scan.out.path.rpartition("/")[0]
     relative = spec.startswith(".")
-    # the file that a relative import names is not looked for here; its id is that of the path as written
-    base = normpath(f"{folder}/{spec}" if folder else spec) if relative else spec
+    # without the folder, the id is that of the path as written
+    base = scan.out.beside(spec) if relative else spec
+    if relative:
+        scan.out.choose(make_id(base), js_files(base))
     again = m[0].lstrip().startswith("export")
     scan.out.link(scan.root, make_id(base) if relative else make_id("ref", base), "re_exports" if again else "imports_from", line, context="re-export" if again else "import")
     if relative and not again:
         stem = re.sub(r"\.(?:[cm]?[jt]sx?)$", "", base)
         for part in split_top((re.search(r"\{(.*?)\}", m[0], re.S) or ["", ""])[1]):
-            scan.out.link(scan.root, make_id(stem, re.sub(r"^type\s+", "", part).split(" as ")[0].strip()), "imports", line, context="import")
+            name = re.sub(r"^type\s+", "", part).split(" as ")[0].strip()
+            scan.out.choose(make_id(stem, name), js_files(base), name)
+            scan.out.link(scan.root, make_id(stem, name), "imports", line, context="import")
 
 
 def _js_bases(kind: str, head: str):

@@ -34,4 +34,6 @@ def settle(out: Emitter) -> Emitter:
         link["source"], link["target"] = swap.get(link["source"], link["source"]), swap.get(link["target"], link["target"])
         kept.setdefault((link["source"], link["target"], link["relation"]), link)
     out.links = list(kept.values())
+    for _, link in out.conditional:
+        link["source"] = swap.get(link["source"], link["source"])
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from ..functions.ids import basename, file_stem, make_id
+from ..functions.ids import basename, file_stem, make_id, normpath
 
 
 @dataclass
@@ -14,6 +14,10 @@ class Emitter:
     links: list[dict] = field(default_factory=list)
     imports: list[dict] = field(default_factory=list)
     calls: list[dict] = field(default_factory=list)
+    #: (target as emitted, path of a file, id if that file is there), best first
+    choices: list[tuple[str, str, str]] = field(default_factory=list)
+    #: links that are there only if a file is: (its path, link)
+    conditional: list[tuple[str, dict]] = field(default_factory=list)
 
     def __post_init__(self):
         self.stem = file_stem(self.path)
@@ -35,7 +39,24 @@ class Emitter:
 
     def link(self, source: str, target: str, relation: str, line: int | None = None, confidence: str | None = "EXTRACTED", weight: float | None = 1.0, context: str | None = None, **extra) -> None:
         if source and target:
-            self.links.append({"source": source, "target": target, "relation": relation, "confidence": confidence, "context": context, "source_file": self.path, "source_location": f"L{line}" if line else extra.pop("location", None), "weight": weight, **extra})
+            self.links.append(self._link(source, target, relation, line, confidence, weight, context, **extra))
+
+    def _link(self, source: str, target: str, relation: str, line: int | None = None, confidence: str | None = "EXTRACTED", weight: float | None = 1.0, context: str | None = None, **extra) -> dict:
+        return {"source": source, "target": target, "relation": relation, "confidence": confidence, "context": context, "source_file": self.path, "source_location": f"L{line}" if line else extra.pop("location", None), "weight": weight, **extra}
+
+    def link_if(self, path: str, source: str, target: str, relation: str, line: int | None = None, **extra) -> None:
+        """A link for the case that the folder has a file at ``path``."""
+        if source and target:
+            self.conditional.append((path, self._link(source, target, relation, line, **extra)))
+
+    def choose(self, target: str, paths: list[str], *names: str) -> None:
+        """``target`` stands for the first of ``paths`` that is a file of the folder, or for the symbol of that name in it."""
+        self.choices += [(target, p, make_id(file_stem(p), *names)) for p in paths]
+
+    def beside(self, path: str) -> str:
+        """A path as written in this file, from the root of the scan."""
+        folder = self.path.rpartition("/")[0]
+        return normpath(f"{folder}/{path}" if folder and not path.startswith("/") else path)
 
     def file_node(self, file_type: str = "code", line: int | None = 1) -> str:
         return self.node(make_id(self.stem), self.name, line, file_type)

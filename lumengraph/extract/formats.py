@@ -7,7 +7,7 @@ import re
 import xml.etree.ElementTree as ET
 
 from ..functions.ids import basename, make_id, normpath
-from .brace_languages import EXTRACTORS as BRACES
+from .brace_languages import EXTRACTORS as BRACES, js_files
 from .emitter import Emitter
 
 
@@ -190,6 +190,8 @@ def _component(text: str, path: str, scripts: list[tuple[int, int]], language: s
         if node_id not in named:
             named.add(node_id)
             out.link(root, node_id, relation, weight=None)
+            if target.startswith("."):
+                out.choose(node_id, js_files(out.beside(target)))
 
     for m in _DYNAMIC.finditer(text):
         add(m[1], "dynamic_import")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from ..functions.ids import make_id, normpath
+from ..functions.ids import file_stem, make_id, normpath
 from .emitter import Emitter
 from .scanner import closing, masked, split_top, type_names
 
@@ -73,7 +73,15 @@ def extract_lua(path: str, text: str) -> Emitter:
     root = out.file_node()
     plain = masked(text, ("--",), (("--[[", "]]"),), "\"'")
     for m in re.finditer(r"\brequire\s*\(?\s*[\"']([^\"']+)[\"']", text):
-        out.link(root, make_id(m[1].rsplit(".", 1)[-1]), "imports", _number(text, m.start()), context="import")
+        # the module's file is looked for in this folder and the five above it
+        rest, folder, paths = m[1].replace(".", "/"), path.rpartition("/")[0], []
+        for _ in range(6):
+            paths += [f"{folder}/{rest}{tail}".lstrip("/") for tail in (".lua", ".luau", "/init.lua", "/init.luau")]
+            if not folder:
+                break
+            folder = folder.rpartition("/")[0]
+        out.choose(make_id(m[1]), paths)
+        out.link(root, make_id(m[1]), "imports", _number(text, m.start()), context="import")
     heads = list(re.finditer(r"^[ \t]*(?:local\s+)?function\s+([\w.:]+)\s*\(", plain, re.M))
     bodies = []
     for m in heads:
@@ -114,7 +122,11 @@ def extract_bash(path: str, text: str) -> Emitter:
             if m := re.match(r"\s*(?:export|declare|readonly)\s+(?:-\w+\s+)*([A-Za-z_]\w*)=", line):
                 out.link(root, out.node(make_id(out.stem, m[1]), m[1], number), "defines", number)
             elif m := re.match(r"\s*(?:source|\.)\s+[\"']?([^\s\"'$`;|&]+)", line):
-                pass  # the file beside it is found when the folder is resolved
+                if m[1][0] in "./":
+                    where = out.beside(m[1])
+                    out.link_if(where, root, make_id(file_stem(where)), "imports_from", number, context="import")
+                else:
+                    out.link(root, make_id(m[1]), "imports", number, context="import")
             bodies[0][2].append(line)
         at += 1
     made = set()
@@ -126,6 +138,9 @@ def extract_bash(path: str, text: str) -> Emitter:
                 if target and target != caller and (caller, target) not in made:
                     made.add((caller, target))
                     out.link(caller, target, "calls", first + k, context="call")
+            if m := re.match(r"\s*(\.{0,2}/?[\w./-]+\.sh)\b", line):
+                where = out.beside(m[1])
+                out.link_if(where, caller, make_id(where) + "__entry", "calls", first + k, context="script_invocation")
             if m := re.match(r"\s*(?:bash|sh)\s+[\"']?(\.{0,2}/?[\w./-]+\.sh)\b", line):
                 target = normpath(f"{folder}/{m[1]}" if folder else m[1])
                 out.link(caller, make_id(target) + "__entry", "calls", first + k, context="script_invocation")

@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import PropertyGraph, stored
+from ..tables import PropertyGraph, dropped, stored
 from .metrics import weighted_adjacency
 
 RESOLUTION = 0.82
-#: Adjacency rows up to which the exact mode is allowed; about 200 MB in one task.
+#: Adjacency rows and nodes up to which the exact mode is allowed; about 200 MB in one task.
 EXACT_ROWS = 4_000_000
 Weights = dict[int, dict[int, float]]
 
@@ -70,9 +70,9 @@ def _named(members: DataFrame) -> DataFrame:
 
 
 def exact_communities(graph: PropertyGraph, resolution: float = RESOLUTION) -> DataFrame:
-    """``id, community`` by sequential local moving in node order; for at most EXACT_ROWS adjacency rows."""
+    """``id, community`` by sequential local moving in node order; for at most EXACT_ROWS adjacency rows and nodes."""
     adjacency = stored(weighted_adjacency(graph))
-    if adjacency.count() > EXACT_ROWS:
+    if adjacency.count() + graph.nodes.count() > EXACT_ROWS:
         raise ValueError("the graph is too large for one task; use communities(mode='synchronous')")
 
     def one(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -89,17 +89,9 @@ def exact_communities(graph: PropertyGraph, resolution: float = RESOLUTION) -> D
     return _named(found)
 
 
-def synchronous_communities(graph: PropertyGraph, resolution: float = RESOLUTION, rounds: int = 12) -> DataFrame:
-    """``id, community`` by local moving of half the nodes at a time, with joins only.
-
-    The partition differs from that of the sequential mode; each round moves a node to the
-    neighbouring community of largest gain, ties to the smallest name.
-    """
-    edges = stored(weighted_adjacency(graph))
-    strength = edges.groupBy("u").agg(F.sum("w").alias("k"))
-    whole = edges.agg(F.sum("w")).first()[0] or 1.0
-    labels = stored(graph.node_ids().distinct().join(strength.select(F.col("u").alias("id"), "k"), "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("id").alias("c")))
-    for r in range(rounds):
+def _moved(edges: DataFrame, labels: DataFrame, whole: float, resolution: float, most: int) -> DataFrame:
+    """``id, k, c`` after local moving until no node gains by it; ``labels`` holds ``id, k, c``."""
+    for r in range(most):
         load = labels.groupBy("c").agg(F.sum("k").alias("load"))
         mine = labels.select(F.col("id").alias("u"), "k", F.col("c").alias("own"))
         pull = edges.where("u <> v").join(labels.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("pull"))
@@ -108,13 +100,39 @@ def synchronous_communities(graph: PropertyGraph, resolution: float = RESOLUTION
         without = F.col("load") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         offers = offers.withColumn("gain", F.round(F.col("pull") - resolution * F.col("k") * without / whole, 9))
         best = offers.groupBy("u").agg(F.max_by("c", F.struct("gain", (F.col("c") == F.col("own")), F.col("c"))).alias("best"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        after = labels.join(best.select(F.col("u").alias("id"), "best"), "id", "left")
-        after = stored(after.select("id", "k", F.when(turn, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c"), (turn & (F.col("best") != F.col("c"))).alias("moved")))
-        labels = after.drop("moved")
-        if r % 2 and after.where("moved").isEmpty():
-            break
-    return _named(labels.select("id", "c"))
+        # half of the nodes may move, later fewer, so that neighbours don't change places for ever
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2 + r // 8)) == 0
+        after = labels.join(best.select(F.col("u").alias("id"), "best"), "id", "left").withColumn("wants", F.coalesce(F.col("best") != F.col("c"), F.lit(False)))
+        after = stored(after.select("id", "k", F.when(turn, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c"), "wants"))
+        over = after.where("wants").isEmpty()
+        dropped(labels)
+        labels = after
+        if over:
+            return labels.drop("wants")
+    raise RuntimeError(f"communities still change after {most} rounds")
+
+
+def synchronous_communities(graph: PropertyGraph, resolution: float = RESOLUTION, rounds: int = 200) -> DataFrame:
+    """``id, community`` by local moving of part of the nodes at a time, with joins only, for graphs of any size.
+
+    As in the sequential mode, nodes move until none gains, communities become nodes, and so on until
+    nothing merges; as many nodes move at once, the partition may differ.  A node goes to the neighbouring
+    community of largest gain, ties to the largest name.  ``rounds`` of one level without an end are an error.
+    """
+    edges = stored(weighted_adjacency(graph))
+    whole = edges.agg(F.sum("w")).first()[0] or 1.0
+    members = stored(graph.node_ids().distinct().withColumn("c", F.col("id")))
+    while True:
+        strength = edges.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"))
+        labels = stored(members.select(F.col("c").alias("id")).distinct().join(strength, "id", "left").select("id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("id").alias("c")))
+        moved = _moved(edges, labels, whole, resolution, rounds).select("id", "c")
+        if moved.where("id <> c").isEmpty():
+            return _named(members)
+        to = lambda end: moved.select(F.col("id").alias(end), F.col("c").alias(f"{end}2"))
+        old = members, edges
+        members = stored(members.join(moved.select(F.col("id").alias("c"), F.col("c").alias("home")), "c").select("id", F.col("home").alias("c")))
+        edges = stored(edges.join(to("u"), "u").join(to("v"), "v").groupBy(F.col("u2").alias("u"), F.col("v2").alias("v")).agg(F.sum("w").alias("w")))
+        dropped(*old)
 
 
 def communities(graph: PropertyGraph, resolution: float = RESOLUTION, mode: str = "exact") -> DataFrame:

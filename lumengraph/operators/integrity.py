@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import CONFIDENCES, PropertyGraph
 
 
 def validation_errors(graph: PropertyGraph) -> DataFrame:
-    """``kind, ord, detail``: missing ids, each further use of an id, links without source, target or relation, unknown confidences."""
-    nodes, links = graph.nodes, graph.links
-    row = lambda df, kind, detail: df.select(F.lit(kind).alias("kind"), "ord", detail.alias("detail"))
-    again = nodes.where("id is not null").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("n > 1")
-    out = row(nodes.where("id is null"), "missing id", F.lit("id")).union(row(again, "duplicate id", F.col("id")))
-    for key in ("source", "target", "relation"):
-        out = out.union(row(links.where(F.col(key).isNull()), "missing key", F.lit(key)))
-    return out.union(row(links.where(~F.col("confidence").isin(*CONFIDENCES)), "invalid confidence", F.col("confidence")))
+    """``kind, ord, detail``: missing ids, each further use of an id, links without source, target or relation, unknown confidences.
+
+    One pass over the links; of the nodes only those meet whose id is used again.
+    """
+    nodes, links = graph.nodes.select("ord", "id"), graph.links
+    fault = lambda kind, detail, when: F.when(when, F.struct(F.lit(kind).alias("kind"), detail.alias("detail")))
+    missing = nodes.where("id is null").select(F.lit("missing id").alias("kind"), "ord", F.lit("id").alias("detail"))
+    first = nodes.where("id is not null").groupBy("id").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = nodes.join(first, "id").where("ord <> first").select(F.lit("duplicate id").alias("kind"), "ord", F.col("id").alias("detail"))
+    faults = [fault("missing key", F.lit(k), F.col(k).isNull()) for k in ("source", "target", "relation")]
+    faults.append(fault("invalid confidence", F.col("confidence"), ~F.col("confidence").isin(*CONFIDENCES)))
+    bad = F.col("source").isNull() | F.col("target").isNull() | F.col("relation").isNull() | ~F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(True))
+    wrong = links.where(bad).select("ord", F.explode(F.filter(F.array(*faults), lambda f: f.isNotNull())).alias("f")).select("f.kind", "ord", "f.detail")
+    return missing.union(again).union(wrong)
 
 
 def dangling_links(graph: PropertyGraph) -> DataFrame:

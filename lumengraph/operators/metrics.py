@@ -54,11 +54,13 @@ def degree_export(graph: PropertyGraph) -> DataFrame:
 
 
 def hub_threshold(graph: PropertyGraph, floor: int = 50) -> DataFrame:
-    """One row ``hub_threshold``: the degree at place 99 n / 100 of all degrees in order, at least ``floor``.
+    """One row ``hub_threshold``: the degree at place 99 n / 100 of all degrees in order, at least ``floor``."""
+    return threshold_of(degree_directed(graph), floor)
 
-    Found from the histogram of degrees, which has few rows however large the graph is.
-    """
-    histogram = degree_directed(graph).groupBy("degree").agg(F.count("*").alias("n"))
+
+def threshold_of(degrees: DataFrame, floor: int = 50) -> DataFrame:
+    """:func:`hub_threshold` of known degrees, from their histogram, which has few rows however large the graph is."""
+    histogram = degrees.groupBy("degree").agg(F.count("*").alias("n"))
     upto = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("degree")))
     total = histogram.agg(F.sum("n").alias("total"))
     at = upto.crossJoin(F.broadcast(total)).where("upto > floor(total * 99 / 100)")  # total: one row
@@ -128,6 +130,7 @@ def surprising_connections(graph: PropertyGraph, communities: DataFrame, top_n:
     two nodes, whatever their direction; parallel links are listed each.
     """
     pair = [F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high")]
+    # links that are structural themselves may be the first between a pair, so all count here; no other column comes along
     first = graph.links.where("source is not null and target is not null").groupBy(*pair).agg(F.min_by(F.struct("relation", "confidence"), "ord").alias("f"))
     first = first.select("low", "high", F.coalesce("f.relation", F.lit("")).alias("relation"), F.coalesce("f.confidence", F.lit("EXTRACTED")).alias("confidence"))
     first = first.where(~F.col("relation").isin(*STRUCTURAL))

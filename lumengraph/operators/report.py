@@ -16,11 +16,16 @@ SHOWN = 8
 
 def community_members(graph: PropertyGraph, communities: DataFrame, shown: int = SHOWN) -> DataFrame:
     """``community, total, names``: the first labels (by id) of the members that are no file nodes, of all members where none is left."""
-    rows = graph.nodes.join(degree_undirected(graph), "id").join(communities, "id") if "community" not in graph.nodes.columns else graph.nodes.drop("community").join(degree_undirected(graph), "id").join(communities, "id")
-    rows = rows.withColumn("real", ~is_file_node(F.col("degree"))).withColumn("any_real", F.max("real").over(Window.partitionBy("community")))
-    rows = rows.where("real or not any_real").withColumn("place", F.row_number().over(Window.partitionBy("community").orderBy("id")))
-    first = F.sort_array(F.collect_list(F.when(F.col("place") <= shown, F.struct("place", F.coalesce("label", F.lit("")).alias("label")))))
-    return rows.groupBy("community").agg(F.count("*").alias("total"), F.transform(first, lambda x: x["label"]).alias("names"))
+    rows = graph.nodes.drop("community").join(degree_undirected(graph), "id").join(communities, "id")
+    rows = rows.select("community", "id", F.coalesce("label", F.lit("")).alias("label"), (~is_file_node(F.col("degree"))).alias("real"))
+    totals = rows.groupBy("community").agg(F.count("*").alias("all"), F.count_if("real").alias("real_ones"))
+    # a limit on the rank is applied before rows are shuffled, too: no task holds a whole community
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("real"), "id"))
+    first = rows.withColumn("place", place).where(F.col("place") <= shown)
+    first = first.groupBy("community").agg(F.sort_array(F.collect_list(F.struct("place", "label", "real"))).alias("first"))
+    some = F.col("real_ones") > 0
+    names = F.transform(F.filter("first", lambda x: x["real"] | ~some), lambda x: x["label"])
+    return totals.join(first, "community").select("community", F.when(some, F.col("real_ones")).otherwise(F.col("all")).alias("total"), names.alias("names"))
 
 
 def render_report(graph: PropertyGraph, communities: DataFrame, root: str, today: str | None = None) -> str:

@@ -8,30 +8,40 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import make_id, query_terms, tokens
+from ..functions.ids import make_id
+from ..functions.text import query_terms, tokens
 from ..tables import PropertyGraph, stored
-from .metrics import degree_directed, hub_threshold, resolved_links
+from .metrics import degree_directed, resolved_links, threshold_of
 
 BUDGET, DEPTH = 1500, 2
 
 
-def find_nodes(graph: PropertyGraph, query: str) -> DataFrame:
-    """``tier, ord, id, label`` of the nodes that match, best first: 0 the canonical id, 1 equal, 2 prefix, 3 contained."""
-    spark = graph.nodes.sparkSession
-    asked = spark.range(1).select(make_id(F.lit(query)).alias("canon"), F.array_join(tokens(F.lit(query)), " ").alias("term")).first()
-    term = asked["term"]
+def _tier(query: str) -> Column:
+    """0 the canonical id, 1 equal, 2 prefix, 3 contained; null for no match."""
+    term = F.array_join(tokens(F.lit(query)), " ")  # a constant to the optimiser
     label, nid = F.array_join(tokens(F.col("label")), " "), F.lower("id")
     fuzzy = F.when((label == term) | (nid == term), 1).when(label.startswith(term) | nid.startswith(term), 2).when(label.contains(term) | nid.contains(term), 3)
-    tier = F.when(F.col("id") == asked["canon"], 0).when(F.lit(term != ""), fuzzy)
-    return graph.nodes.where("id is not null").select(tier.cast("long").alias("tier"), "ord", "id", "label").where("tier is not null").orderBy("tier", "ord")
+    return F.when(F.col("id") == make_id(query), 0).when(term != "", fuzzy).cast("long")
+
+
+def find_nodes(graph: PropertyGraph, query: str) -> DataFrame:
+    """``tier, ord, id, label`` of the nodes that match, best first: 0 the canonical id, 1 equal, 2 prefix, 3 contained."""
+    return graph.nodes.where("id is not null").select(_tier(query).alias("tier"), "ord", "id", "label").where("tier is not null").orderBy("tier", "ord")
+
+
+def find_best(graph: PropertyGraph, queries: list[str]) -> list[str | None]:
+    """The best match of each query, all in one pass over the nodes."""
+    if not queries:
+        return []
+    best = [F.min(F.when(_tier(q).isNotNull(), F.struct(_tier(q).alias("tier"), "ord", "id"))).alias(f"q{k}") for k, q in enumerate(queries)]
+    return [r["id"] if r else None for r in graph.nodes.where("id is not null").agg(*best).first()]
 
 
 def find_node(graph: PropertyGraph, query: str) -> str | None:
-    row = find_nodes(graph, query).first()
-    return row["id"] if row else None
+    return find_best(graph, [query])[0]
 
 
 def labels_of(graph: PropertyGraph) -> DataFrame:
@@ -58,40 +68,43 @@ class Explanation:
     degree: int
     connections: list[tuple[str, str, str, str]]
 
-    def render(self, most: int = 20) -> str:
+    def render(self) -> str:
         lines = [f"Node: {self.label}", f"  ID:        {self.id}", f"  Source:    {self.source}", f"  Community: {self.community}", f"  Degree:    {self.degree}"]
         if self.connections:
-            lines += ["", f"Connections ({len(self.connections)}):"]
-            lines += [f"  {'-->' if way == 'out' else '<--'} {name} [{relation}] [{confidence}]" for way, name, relation, confidence in self.connections[:most]]
-            if len(self.connections) > most:
-                lines.append(f"  ... and {len(self.connections) - most} more")
+            lines += ["", f"Connections ({self.degree}):"]
+            lines += [f"  {'-->' if way == 'out' else '<--'} {name} [{relation}] [{confidence}]" for way, name, relation, confidence in self.connections]
+            if self.degree > len(self.connections):
+                lines.append(f"  ... and {self.degree - len(self.connections)} more")
         return "\n".join(lines) + "\n"
 
 
-def explain(graph: PropertyGraph, query: str) -> Explanation | None:
-    """Everything about the best match; its connections are one node's, on the driver for display."""
+def explain(graph: PropertyGraph, query: str, most: int = 20) -> Explanation | None:
+    """The best match and its first connections; only those that are shown come to the driver."""
     node_id = find_node(graph, query)
     if node_id is None:
         return None
     node = graph.shaped().nodes.where(F.col("id") == node_id).orderBy("ord").first()
-    near = [(r["direction"], r["neighbor"], r["relation"], r["confidence"]) for r in neighbors(graph, node_id).collect()]
+    near = neighbors(graph, node_id)
+    shown = [(r["direction"], r["neighbor"], r["relation"], r["confidence"]) for r in near.limit(most).collect()]
     place = f"{node['source_file'] or ''} {node['source_location'] or ''}".strip()
     community = node["community_name"] or ("" if node["community"] is None else str(node["community"]))
-    return Explanation(node_id, node["label"] or node_id, place, community, len(near), near)
+    return Explanation(node_id, node["label"] or node_id, place, community, len(shown) if len(shown) < most else near.count(), shown)
 
 
-def _adjacent(graph: PropertyGraph) -> DataFrame:
-    """``id, near, near_ord``: resolved neighbours in either direction, each once."""
-    links = resolved_links(graph).select("source", "target")
-    both = links.union(links.select("target", "source")).distinct().select(F.col("source").alias("id"), F.col("target").alias("near"))
-    places = graph.nodes.where("id is not null").groupBy("id").agg(F.min("ord").alias("near_ord"))
-    return both.join(places.select(F.col("id").alias("near"), "near_ord"), "near").select("id", "near", "near_ord")
+def _places(graph: PropertyGraph) -> DataFrame:
+    return graph.nodes.where("id is not null").groupBy("id").agg(F.min("ord").alias("ord"))
 
 
-def _next_layer(frontier: DataFrame, adjacent: DataFrame, seen: DataFrame) -> DataFrame:
-    """``id, parent, parent_rank, ord`` of the nodes beyond ``frontier`` (``id, rank``)."""
-    reached = frontier.join(adjacent, "id").select(F.col("near").alias("id"), F.col("id").alias("parent"), F.col("rank").alias("parent_rank"), F.col("near_ord").alias("ord"))
-    return reached.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min_by("parent", "parent_rank").alias("parent"), F.min("parent_rank").alias("parent_rank"), F.first("ord").alias("ord"))
+def _ends(graph: PropertyGraph) -> DataFrame:
+    """The ends of all links, stored once for the layers of a traversal; links of one pair and direction are one."""
+    return stored(graph.links.select("source", "target").where("source is not null and target is not null").distinct())
+
+
+def _reached(frontier: DataFrame, ends: DataFrame) -> DataFrame:
+    """``frontier`` with ``near``: the other end of each link of its ids, in either direction."""
+    names = frontier.columns
+    out = frontier.join(ends, F.col("id") == F.col("source")).select(*names, F.col("target").alias("near"))
+    return out.union(frontier.join(ends, F.col("id") == F.col("target")).select(*names, F.col("source").alias("near")))
 
 
 def expand(graph: PropertyGraph, seeds: list[str], budget: int = BUDGET, depth: int = DEPTH) -> DataFrame:
@@ -105,22 +118,24 @@ def expand(graph: PropertyGraph, seeds: list[str], budget: int = BUDGET, depth:
     visited = spark.createDataFrame(start, "rank long, id string, parent string, layer int")
     n = len(start)
     if n and n < budget:
-        limit = hub_threshold(graph).first()["hub_threshold"]
-        degrees = degree_directed(graph)
-        adjacent = _adjacent(graph)
-        frontier = visited.select("id", "rank")
+        graph = PropertyGraph(stored(graph.nodes.select("id", "ord")), stored(graph.links.select("source", "target")))
+        places, ends = _places(graph), _ends(graph)
+        frontier = visited.join(places.select("id"), "id", "left_semi").select("id", "rank")
         for layer in range(1, depth + 1):
-            if n >= budget:
-                break
+            if layer == 2:  # seeds are expanded in any case
+                degrees = stored(degree_directed(graph))
+                limit = threshold_of(degrees).first()["hub_threshold"]
             if layer > 1:
                 frontier = frontier.join(degrees, "id").where(F.col("degree") < limit).select("id", "rank")
-            layer_rows = _next_layer(frontier, adjacent, visited).orderBy("parent_rank", "ord").limit(budget - n)
-            place = F.row_number().over(Window.orderBy("parent_rank", "ord")) - 1 + n
-            fresh = stored(layer_rows.select(place.cast("long").alias("rank"), "id", "parent", F.lit(layer).alias("layer")))
+            reached = _reached(frontier, ends).groupBy(F.col("near").alias("id")).agg(F.min(F.struct("rank", F.col("id").alias("parent"))).alias("by"))
+            reached = reached.join(visited.select("id"), "id", "left_anti").join(places, "id")
+            rows = reached.orderBy("by.rank", "ord").limit(budget - n).select("id", "ord", "by.rank", "by.parent")
+            place = F.row_number().over(Window.orderBy("rank", "ord")) - 1 + n
+            fresh = stored(rows.select(place.cast("long").alias("rank"), "id", "parent", F.lit(layer).alias("layer")))
             found = fresh.count()
-            if not found:
-                break
             visited, frontier, n = visited.union(fresh), fresh.select("id", "rank"), n + found
+            if not found or n >= budget:
+                break
     return visited.orderBy("rank").limit(budget)
 
 
@@ -131,15 +146,15 @@ def expand_depth_first(graph: PropertyGraph, seeds: list[str], budget: int = BUD
     nodes within ``depth`` steps of a seed, hubs not passed.
     """
     seeds = list(dict.fromkeys(seeds))
-    limit = hub_threshold(graph).first()["hub_threshold"]
-    adjacent, degrees = _adjacent(graph), degree_directed(graph)
+    graph = PropertyGraph(stored(graph.nodes.select("id", "ord")), stored(graph.links.select("source", "target")))
+    places, ends, degrees = _places(graph), _ends(graph), stored(degree_directed(graph))
+    limit = threshold_of(degrees).first()["hub_threshold"]
     spark = graph.nodes.sparkSession
-    reach = spark.createDataFrame([(s,) for s in seeds], "id string")
-    passed, near = reach, {}
+    passed, near = places.where(F.col("id").isin(seeds)).select("id"), {}
     for _ in range(depth):
-        rows = passed.join(adjacent, "id").select("id", "near", "near_ord").collect()
+        rows = _reached(passed, ends).distinct().join(places.withColumnRenamed("id", "near"), "near").select("id", "near", "ord").collect()
         for r in rows:
-            near.setdefault(r["id"], set()).add((r["near_ord"], r["near"]))
+            near.setdefault(r["id"], set()).add((r["ord"], r["near"]))
         fresh = [(x,) for x in sorted({r["near"] for r in rows} - set(near))]
         passed = spark.createDataFrame(fresh, "id string").join(degrees, "id").where(F.col("degree") < limit).select("id")
     walked, order, taken = set(), list(seeds), []
@@ -163,8 +178,7 @@ def expand_depth_first(graph: PropertyGraph, seeds: list[str], budget: int = BUD
 def seeds_of(graph: PropertyGraph, question: str) -> list[str]:
     """The best match of each content word, each once."""
     terms = graph.nodes.sparkSession.range(1).select(query_terms(F.lit(question)).alias("t")).first()["t"]
-    found = [find_node(graph, t) for t in dict.fromkeys(terms)]
-    return list(dict.fromkeys(x for x in found if x))
+    return list(dict.fromkeys(x for x in find_best(graph, list(dict.fromkeys(terms))) if x))
 
 
 def query(graph: PropertyGraph, question: str, budget: int = BUDGET, depth_first: bool = False) -> dict:
@@ -178,44 +192,63 @@ def query(graph: PropertyGraph, question: str, budget: int = BUDGET, depth_first
     return {"mode": "dfs" if depth_first else "bfs", "seeds": seeds, "nodes": nodes, "edges": edges}
 
 
-def shortest_path(graph: PropertyGraph, source: str, target: str, most: int = 1000) -> DataFrame:
+def _layers(graph: PropertyGraph, ends: DataFrame, source: str, target: str) -> list[DataFrame] | None:
+    """The nodes at each distance from ``source`` that lie on shortest paths to ``target`` (``id, ord``); None without a path.
+
+    Layers grow from both ends, the smaller frontier first, until they meet.
+    """
+    places = _places(graph)
+    sides = [[stored(places.where(F.col("id") == end))] for end in (source, target)]
+    sizes = [side[0].count() for side in sides]
+    if not all(sizes):
+        return None
+    met = sides[0][0] if source == target else None
+    while met is None:
+        k = sizes.index(min(sizes))
+        seen = sides[k][-1].select("id") if len(sides[k]) == 1 else sides[k][-1].select("id").union(sides[k][-2].select("id"))
+        # a neighbour of a layer lies in the one before, in itself, or in the next
+        fresh = _reached(sides[k][-1].select("id"), ends).select(F.col("near").alias("id")).distinct().join(seen, "id", "left_anti")
+        sides[k].append(stored(fresh.join(places, "id").select("id", "ord")))
+        sizes[k] = sides[k][-1].count()
+        if not sizes[k]:
+            return None
+        both = stored(sides[k][-1].join(sides[1 - k][-1].select("id"), "id", "left_semi"))
+        met = None if both.isEmpty() else both
+    out = [met]
+    for side in sides:
+        last = met
+        for layer in reversed(side[:-1]):
+            near = _reached(last.select("id"), ends).select(F.col("near").alias("id"))
+            last = stored(layer.join(near, "id", "left_semi"))
+            out.insert(0 if side is sides[0] else len(out), last)
+    return out
+
+
+def shortest_path(graph: PropertyGraph, source: str, target: str) -> DataFrame:
     """``hop, from_id, to_id, forward, relation, confidence`` of the first shortest undirected path; no rows if there is none.
 
-    One join per layer; each layer's rows are written once.  A link in the
-    direction of the hop is preferred, of several the latest.
+    A queue takes neighbours in order of appearance, so its path is the one whose nodes come first,
+    compared from the source on.  A link in the direction of the hop is preferred, of several the latest.
     """
     spark = graph.nodes.sparkSession
-    adjacent = stored(_adjacent(graph))
-    visited = spark.createDataFrame([(0, source, None, 0)], "rank long, id string, parent string, layer int")
-    frontier, n, found = visited.select("id", "rank"), 1, source == target
-    for layer in range(1, most + 1):
-        if found:
-            break
-        # ranks inside a layer only have to keep the order
-        order = F.struct("parent_rank", "ord")
-        rows = _next_layer(frontier, adjacent, visited).withColumn("place", order)
-        fresh = stored(rows.sort("place").select((F.monotonically_increasing_id() + n).alias("rank"), "id", "parent", F.lit(layer).alias("layer")))
-        if fresh.isEmpty():
-            break
-        n = fresh.agg(F.max("rank")).first()[0] + 1
-        found = not fresh.where(F.col("id") == target).isEmpty()
-        visited, frontier = visited.union(fresh), fresh.select("id", "rank")
-    hops, node = [], target
-    while found and node != source:
-        parent = visited.where(F.col("id") == node).first()["parent"]
-        hops.append((parent, node))
-        node = parent
-    steps = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(reversed(hops))], "hop long, from_id string, to_id string")
-    links = resolved_links(graph).select("source", "target", "ord", "relation", "confidence")
-    ahead = steps.join(links, (F.col("source") == F.col("from_id")) & (F.col("target") == F.col("to_id"))).select("hop", "from_id", "to_id", F.lit(True).alias("forward"), "ord", "relation", "confidence")
-    back = steps.join(links, (F.col("source") == F.col("to_id")) & (F.col("target") == F.col("from_id"))).select("hop", "from_id", "to_id", F.lit(False).alias("forward"), "ord", "relation", "confidence")
-    best = ahead.union(back).groupBy("hop", "from_id", "to_id").agg(F.max_by(F.struct("forward", "relation", "confidence"), F.struct("forward", "ord")).alias("b"))
+    graph = PropertyGraph(stored(graph.nodes.select("id", "ord")), stored(graph.links.select("ord", "source", "target", "relation", "confidence")))
+    ends, hops = _ends(graph), []
+    at = source
+    for layer in (_layers(graph, ends, source, target) or [])[1:]:
+        near = _reached(spark.createDataFrame([(at,)], "id string"), ends).select(F.col("near").alias("id"))
+        step = layer.join(near, "id", "left_semi").orderBy("ord").first()["id"]
+        hops.append((len(hops), at, step))
+        at = step
+    steps = F.broadcast(spark.createDataFrame(hops, "hop long, from_id string, to_id string"))  # one row for each hop
+    link = lambda a, b: (F.col("source") == F.col(a)) & (F.col("target") == F.col(b))
+    found = [steps.join(graph.links, link(*way)).select("hop", "from_id", "to_id", F.lit(way[0] == "from_id").alias("forward"), "ord", "relation", "confidence") for way in (("from_id", "to_id"), ("to_id", "from_id"))]
+    best = found[0].union(found[1]).groupBy("hop", "from_id", "to_id").agg(F.max_by(F.struct("forward", "relation", "confidence"), F.struct("forward", "ord")).alias("b"))
     return best.select("hop", "from_id", "to_id", "b.forward", F.coalesce("b.relation", F.lit("")).alias("relation"), F.coalesce("b.confidence", F.lit("")).alias("confidence")).orderBy("hop")
 
 
 def path(graph: PropertyGraph, a: str, b: str) -> DataFrame:
     """The shortest path between the best matches of two queries; an error if one has no match or both have the same."""
-    ends = [find_node(graph, q) for q in (a, b)]
+    ends = find_best(graph, [a, b])
     for q, end in zip((a, b), ends):
         if end is None:
             raise LookupError(f"No node matching '{q}' found.")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cluster, dedupe, integrity, metrics, report, traverse
 from ..tables import stored
-from .testgraphs import DIRTY, STAR, WEB, dirty, star, web
+from .testgraphs import DIRTY, STAR, WEB, clubs, dirty, star, web
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -183,7 +183,13 @@ def shortest_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.shortest_path(star(spark, sf_dir), "region_0", "part_7").agg(F.count("*").alias("hops"))
 
 
-@query()
+@query(f"""with {_LIVE}, adj as (select distinct id, near from (select source as id, target as near from live union all select target, source from live)),
+    best as (select a.near as n1, b.near as n2 from adj a join adj b on b.id = a.near join adj c on c.id = b.near join nodes x on x.id = a.near join nodes y on y.id = b.near
+        where a.id = 'region_0' and c.near = 'part_7' order by x.ord, y.ord limit 1),
+    hops as (select 0 as hop, 'region_0' as from_id, n1 as to_id from best union all select 1, n1, n2 from best union all select 2, n2, 'part_7' from best),
+    taken as (select hop, from_id, to_id, source = from_id as forward, relation, confidence, row_number() over (partition by hop order by source = from_id desc, l.ord desc) as n
+        from hops join live l on (source = from_id and target = to_id) or (source = to_id and target = from_id))
+    select hop::bigint as hop, from_id, to_id, forward, relation, confidence from taken where n = 1""", STAR)
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.shortest_path(star(spark, sf_dir), "region_0", "part_7")
 
@@ -200,14 +206,26 @@ def make_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.make_id(F.col("p_name"), F.col("p_brand"), F.col("p_type"), ascii_only=True).alias("id"))
 
 
-@query()
+#: Each nation and what it contains is a community; the larger ones come first.
+_CLUBS = """with club as (select id, community as c from nodes where id like 'nation%' or id like 'customer%' or id like 'supplier%'),
+    number as (select c, row_number() over (order by count(*) desc, min(id)) - 1 as n from club group by c)
+    select id, n::int as community from club join number using (c)"""
+
+
+@query(r"""select doc_id, lower(trim(regexp_replace(nfc_normalize(coalesce(left(text, 60), '')), '(?:[^\p{L}\p{M}\p{Nd}\p{Pc}]|_)+', '_', 'g'), '_')) as id from documents""")
+def make_id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole recipe, with the Unicode step, on texts in several languages."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.make_id(F.coalesce(F.substring("text", 1, 60), F.lit(""))).alias("id"))
+
+
+@query(_CLUBS, STAR)
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.exact_communities(star(spark, sf_dir))
+    return cluster.exact_communities(clubs(spark, sf_dir))
 
 
-@query()
+@query(_CLUBS, STAR)
 def communities_synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.synchronous_communities(star(spark, sf_dir), rounds=6)
+    return cluster.synchronous_communities(clubs(spark, sf_dir))
 
 
 @query()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from ..export import pictures, text_formats
 from ..functions import text as T
 from ..operators.resolve import resolve_corpus
 from ..sources import documents, files
+from ..tables import scratch
 from .testgraphs import DIRTY, STAR, dirty, star
 
 QUERIES: dict = {}
@@ -68,25 +73,103 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 200)
 
 
-@query("select doc_id, md5(text) as text_md5, length(text)::bigint as n_chars from documents where length(text) > 0")
+@query("select doc_id, md5(coalesce(text, '')) as text_md5, length(coalesce(text, ''))::bigint as n_chars from documents")
 def chunks_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = documents.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 200)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "")
     rows = parts.groupBy("doc_id").agg(text.alias("t"))
-    return rows.where(F.char_length("t") > 0).select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.char_length("t").cast("long").alias("n_chars"))
+    return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.char_length("t").cast("long").alias("n_chars"))
+
+
+@query(r"""with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents),
+    heads as (select doc_id, n, length(regexp_extract(line, '^(#{1,6})\s+(.+)', 1)) as level, trim(regexp_extract(line, '^(#{1,6})\s+(.+)', 2)) as title from lines where regexp_matches(line, '^#{1,6}\s+.')),
+    nested as (select h.doc_id, h.n, h.title, max(p.n) as parent from heads h left join heads p on p.doc_id = h.doc_id and p.n < h.n and p.level < h.level
+        and not exists (select 1 from heads m where m.doc_id = h.doc_id and m.n > p.n and m.n < h.n and m.level <= p.level) group by all)
+    select doc_id, n::bigint as line, title, coalesce(parent, 0)::bigint as parent_line from nested""")
+def markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown reader over all texts: each heading and the one that contains it."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    rows = documents.structure_rows(texts)
+    line = lambda c: F.regexp_extract(c, r"\d+", 0).cast("long")
+    heads = rows.where("kind = 'node' and idx > 0").select("file", F.col("a").alias("id"), F.col("b").alias("title"), line(F.col("e")).alias("line"))
+    inside = rows.where("kind = 'link' and c = 'contains'").select("file", F.col("b").alias("id"), F.col("a").alias("parent"))
+    parents = heads.select("file", F.col("id").alias("parent"), F.col("line").alias("parent_line"))
+    joined = heads.join(inside, ["file", "id"]).join(parents, ["file", "parent"], "left")
+    return joined.select(F.regexp_replace("file", r"\.md$", "").cast("long").alias("doc_id"), "line", "title", F.coalesce("parent_line", F.lit(0)).cast("long").alias("parent_line"))
+
+
+@query("""select 'documents_doc_id_c0' as id, 'doc_id' as label, 0::bigint as column_index union all select 'documents_lang_c1', 'lang', 1 union all select 'documents_n_chars_c2', 'n_chars', 2
+    union all select 'documents_csv', 'documents.csv', least(count(*), 1000) + case when count(*) > 1000 then 100000 else 0 end from documents""")
+def csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV reader over the table written as CSV: its columns, and the table's row count (with 100000 where it is cut)."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat_ws(",", F.col("doc_id").cast("string"), "lang", F.col("n_chars").cast("string")).alias("line"))
+    # one file is one row: at most one line more than the reader counts
+    lines = F.slice(F.collect_list("line"), 1, 2000)
+    content = F.concat(F.lit("doc_id,lang,n_chars\n"), F.array_join(lines, "\n"))
+    files_ = rows.limit(2000).agg(content.alias("t")).select(F.lit("documents.csv").alias("file"), F.encode("t", "UTF-8").alias("content"))
+    found = documents.structure_rows(files_).where("kind = 'node'")
+    extra = lambda k: F.get_json_object("extra", f"$.{k}")
+    index = F.when(F.col("idx") == 0, extra("row_count").cast("long") + F.when(extra("rows_truncated") == "true", 100000).otherwise(0)).otherwise(extra("column_index").cast("long"))
+    return found.select(F.col("a").alias("id"), F.col("b").alias("label"), index.alias("column_index"))
+
+
+def _office(parts: dict[str, str]) -> bytes:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return data.getvalue()
+
+
+_W, _S = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+#: A folder of documents, as bytes.
+PAPERS = {
+    "notes/plan.md": b"# Plan\nSee [the cart](./cart.md#top) and [[Budget|money]].\n## Steps\n```\n# no heading\n```\n# Plan\n![pic](x.md) [site](https://example.org)\n",
+    "notes/rates.tsv": b"day\trate\t\n1\t2\t3\n4\t5\t6\n",
+    "notes/run.ipynb": b'{"cells": [{"cell_type": "markdown", "source": ["# Run\\n", "it"]}, {"cell_type": "code", "source": "1 + 1  \\n"}, {"cell_type": "code", "source": "  "}]}',
+    "notes/letter.docx": _office({"word/document.xml": f'<w:document xmlns:w="{_W}"><w:p><w:r><w:t>Dear </w:t></w:r><w:r><w:t>all</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Bye</w:t></w:r></w:p></w:document>'}),
+    "notes/book.xlsx": _office({
+        "xl/workbook.xml": f'<workbook xmlns="{_S}" xmlns:r="{_R}"><sheets><sheet name="One" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{_S}"><si><t>name</t></si></sst>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_S}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row><row/><row><c r="B3" t="b"><v>1</v></c></row></sheetData></worksheet>',
+    }),
+    "notes/.hidden/skip.md": b"# Skipped\n",
+}
 
 
-@query()
-def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = documents.extract_markdown("docs/a.md", "# Top\nSee [b](./b.md) and [[c]].\n## Sub\n")
-    return spark.createDataFrame([(x["source"], x["target"], x["relation"]) for x in e.links], "source string, target string, relation string")
+def _put(spark: SparkSession, contents: dict[str, bytes]) -> str:
+    """Writes files into a new folder of the scratch folder."""
+    root = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    for name, data in contents.items():
+        target = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(data)
+        out.close()
+    return root
 
 
-@query("""with names as (select unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) as name, unnest(range(5)) as i) select 'documents_' || name || '_c' || i as id, name as label from names""")
-def csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = ",".join(spark.read.parquet(f"{sf_dir}/documents.parquet").columns)
-    e = documents.extract_csv("documents.csv", head + "\n1,2,3,4,5\n")
-    return spark.createDataFrame([(n["id"], n["label"]) for n in e.nodes[1:]], "id string, label string")
+@query(r"""select * from (values ('notes/book.xlsx', '## Sheet: One' || chr(10) || '| name |  | 7 |' || chr(10) || '|  | true |  |'), ('notes/letter.docx', 'Dear all' || chr(10) || 'Bye'),
+    ('notes/run.ipynb', '# Run' || chr(10) || 'it' || chr(10) || chr(10) || '```' || chr(10) || '1 + 1' || chr(10) || '```')) v(file, text)""")
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notebooks and office files of a folder as texts."""
+    return documents.read_texts(spark, _put(spark, PAPERS), ["ipynb", "docx", "xlsx"])
+
+
+@query("""select * from (values ('notes_plan_md', 'contains', 'notes_plan_plan'), ('notes_plan_md', 'references', 'notes_cart_md'), ('notes_plan_md', 'references', 'notes_budget_md'), ('notes_plan_plan', 'contains', 'notes_plan_steps'),
+    ('notes_plan_md', 'contains', 'notes_plan_plan_7'), ('notes_rates_tsv', 'contains', 'notes_rates_day_c0'), ('notes_rates_tsv', 'contains', 'notes_rates_rate_c1')) v(source, relation, target)""")
+def document_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown and tables of a folder as a graph."""
+    return documents.read_structure(spark, _put(spark, PAPERS)).links.select("source", "relation", "target")
+
+
+@query(f"select * from (values {_values(STATED)}) v(source, target, relation)")
+def scan_and_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus again, from a folder that also holds what a scan leaves out."""
+    more = {".git/x.py": "class A: pass\n", "node_modules/y.js": "function f() {}\n", "pkg/readme.txt": "no code\n"}
+    return files.build(spark, _put(spark, {k: v.encode() for k, v in (CORPUS | more).items()})).links.select("source", "target", "relation")
 
 
 @query(f"with {STAR} select ord, 'MERGE (n:Code {{id: ''' || id || ''', label: ''' || label || '''}});' as line from nodes")
@@ -112,10 +195,11 @@ def drawn_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pictures.drawn_nodes(star(spark, sf_dir)).select("id", "degree", "size", "color")
 
 
-@query("""select doc_id, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), lambda w: length(w) > 2 and w not in ('how','what','why','when','where','which','who','does','did','is','are','was','were','be','can','could','should','would','will','may','might','must','has','have','had','the','and','but','not','for','from','with','into','that','this','these','those','there','here','its','their','them','they','about','any','all','some','work','works','working','a','an','of','to','in','on','do')) as terms
-    from documents where regexp_full_match(text, '[ -~\n]*') and not regexp_matches(text, '[0-9]') and lang = 'en'""")
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(rf"""with t as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' and not regexp_full_match(x, '[a-z]{{1,2}}')) as w from documents),
+    c as (select doc_id, w, list_filter(w, lambda x: x not in ({_STOP})) as content from t)
+    select doc_id, case when len(content) > 0 then content else w end as terms from c""")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en'").select("doc_id", F.col("text").alias("q"))
-    d = d.where(F.col("q").rlike(r"^[ -~\n]*\z") & ~F.col("q").rlike("[0-9]"))
-    words = T.searchable(T.tokens(F.col("q")))
-    return d.select("doc_id", F.filter(words, lambda t: ~t.isin(T.STOPWORDS)).alias("terms"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.query_terms(F.col("text")).alias("terms"))

@@ -49,6 +49,16 @@ def star(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(union([n.withColumn("ord", F.col("ord").cast("long")) for n in nodes]), union([x.withColumn("ord", F.col("ord").cast("long")) for x in links]))
 
 
+def clubs(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Nations with their customers and suppliers; a thin link leads from each nation to the next."""
+    g = star(spark, sf_dir)
+    nodes = g.nodes.where("id like 'nation%' or id like 'customer%' or id like 'supplier%'")
+    inside = g.links.where("source like 'nation%'")
+    nation = _read(spark, sf_dir, "nation")
+    thin = nation.where("n_nationkey > 0").selectExpr("cast(5000000000 + n_nationkey as long) as ord", "concat('nation_', n_nationkey - 1) as source", "concat('nation_', n_nationkey) as target", "'next' as relation", "'EXTRACTED' as confidence", "cast(0.001 as double) as weight")
+    return PropertyGraph(nodes, inside.unionByName(thin))
+
+
 def dirty(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The star graph with repeated and missing ids, repeated, dangling and incomplete links, unknown confidences, stubs."""
     g = star(spark, sf_dir)
