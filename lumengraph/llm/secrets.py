@@ -150,7 +150,7 @@ def redact(docs: DataFrame, scope: int = 300, id_col: str = "doc_id", text_col:
     joined = keyed.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
     names = F.array(*[F.lit(k) for k in KINDS])
     # bytes are cut out in time of their number; characters would be counted from the beginning of the text each time
-    cut = lambda first, past: F.decode(F.substring(F.col("raw"), first + 1, past - first), F.lit("UTF-8"))
+    cut = lambda first, past: F.decode(F.substring(F.col("raw"), first + 1, past - first), "UTF-8")
     clean = F.concat(F.array_join(F.transform("marks", lambda m: F.concat(cut(m["so_far"], m["first"]), F.lit("["), F.get(names, m["kind"]), F.lit("]"))), ""), cut(F.col("past"), F.octet_length("raw")))
     return joined.withColumn("row", F.when(F.col("marks").isNull(), F.col("row")).otherwise(F.col("row").withField(f"`{text_col}`", clean))).select("row.*")
 
