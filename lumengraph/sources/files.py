@@ -25,11 +25,11 @@ _LINK = ("source", "target", "relation", "confidence", "context", "source_file",
 
 def scan(spark: SparkSession, root: str, endings: list[str] | None = None) -> DataFrame:
     """``file, content`` of the files below ``root`` with one of the endings; hidden folders and SKIPPED are left out."""
-    base = root.rstrip("/")
+    # paths of files begin with the full name of the folder
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    # what stands before the root is the same for all files
-    path = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    inside = F.substring_index(path, base.split("://")[-1].rstrip("/") + "/", -1)
+    inside = F.substring("path", len(base) + 2, 2**30)
     names = F.split(inside, "/")
     folders = F.slice(names, 1, F.size(names) - 1)
     hidden = F.exists(folders, lambda p: p.startswith(".") | p.isin(*SKIPPED))
