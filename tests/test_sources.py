@@ -1,15 +1,17 @@
 import io
 import json
-import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lumengraph import tables
 from lumengraph.extract import dispatch
 from lumengraph.functions import ids
 from lumengraph.functions import text as T
 from lumengraph.operators.resolve import resolve_corpus
+from lumengraph.plans import extractor_queries
+from lumengraph.plans.samples import SAMPLES
 from lumengraph.sources import documents, files
 from lumengraph.streaming import folder
 
@@ -111,27 +113,44 @@ def test_snippets(ending):
     assert set(links) <= got, sorted(set(links) - got)
 
 
-#: Folders with stated graphs (JSON) and with the sources that they belong to, if there are any.
-STATED, SOURCES = os.environ.get("STATED_GRAPHS", ""), os.environ.get("STATED_SOURCES", "").split(":")
-
-
-@pytest.mark.skipif(not os.path.isdir(STATED), reason="no stated graphs")
-def test_stated_graphs():
-    import re
-    from pathlib import Path
-
-    checked = 0
-    for stated in sorted(Path(STATED).glob("*.json")):
-        doc = json.loads(stated.read_text())
-        # the first node is the file
-        name = doc["nodes"][0]["label"] if doc.get("nodes") else ""
-        source = next((Path(d) / name for d in SOURCES if name and (Path(d) / name).exists()), None)
-        if source is None:
-            continue
-        bare = lambda s: re.sub(r"(tmp_)*[a-z]+_ora_[a-z]+_", "", s)
-        got = dispatch.extract(name, source.read_bytes())
-        assert {(n["id"], n["label"]) for n in got.nodes} == {(bare(n["id"]), n["label"]) for n in doc["nodes"]}, stated.stem
-        link = lambda x: (bare(x["source"]), bare(x["target"]), x["relation"], x.get("context"))
-        assert {link(x) for x in got.links} == {link(x) for x in doc["edges"]}, stated.stem
-        checked += 1
-    assert checked > 50
+@pytest.mark.parametrize("name", sorted(SAMPLES))
+def test_samples_give_their_stated_graphs(name):
+    path, source, _, _ = SAMPLES[name]
+    e = dispatch.extract(path, source.encode())
+    got = [("node", n["id"], n["label"], n["file_type"], "-") for n in e.nodes] + [("link", x["source"], x["relation"], x["target"], x["context"] or "-") for x in e.links]
+    assert sorted(got) == sorted(extractor_queries.stated(name))
+
+
+def test_order_of_files_in_many_partitions(spark):
+    """Ranks have no gaps, and new links come last, however many partitions there are."""
+    sources = {f"d{i % 7}/m{i:03d}.py": f"class C{i}:\n    pass\n" for i in range(150)} | {"a.py": "from m000 import C0\n\n\nclass A(C0):\n    pass\n"}
+    df = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in sources.items()], "file string, content binary")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "100")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        extraction = files.extract_files(df)
+        nodes = {r["id"]: r["ord"] for r in extraction.graph.nodes.where("label like '%.py'").collect()}
+        links = [r["ord"] for r in extraction.graph.links.select("ord").collect()]
+        resolved = resolve_corpus(extraction).links.where("relation in ('imports', 'uses')").select("ord").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    ranks = [nodes[k.removesuffix(".py").replace("/", "_").lower()] // tables.PER_FILE for k in sorted(sources)]
+    assert ranks == list(range(len(sources)))
+    assert len(resolved) == 2 and min(r["ord"] for r in resolved) > max(links)
+
+
+def test_link_targets():
+    cases = {
+        "see [a](b.md) and [c]( <d.md> \"title\" )": ["b.md", "d.md"],
+        "![image](x.png) ![[embed]] [[w|x]] [[v#part]]": ["w", "v"],
+        "  [label]: <target.md> 'title'": ["target.md"],
+        "    [code]: no": [],
+        "[open](never closed": [],
+        "[[both]] [x](y)": ["y", "both"],
+        "[]() [ ] []: x": [],
+    }
+    for line, want in cases.items():
+        assert list(documents.link_targets(line)) == want, line
+    assert [documents.heading(x) for x in ("# a ", "###### b", "####### c", "#d", "# ", " # e")] == [(1, "a"), (6, "b"), None, None, None, None]
