@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import sys
 from pathlib import Path
 
@@ -95,8 +96,10 @@ def main(argv: list[str] | None = None) -> int:
             graph_json.write_graph(graph, f.name, args.pretty)
             print(Path(f.name).read_text(encoding="utf-8") if args.pretty else "ok")
     elif args.verb == "export":
-        text = {"html": pictures.to_html, "svg": pictures.to_svg, "graphml": text_formats.to_graphml, "cypher": text_formats.to_cypher}[args.format](graph)
-        Path(args.out).write_text(text, encoding="utf-8") if args.out else print(text)
+        whole = lambda draw: lambda g: iter(draw(g).split("\n"))  # noqa: E731  pictures are bounded
+        lines = {"html": whole(pictures.to_html), "svg": whole(pictures.to_svg), "graphml": text_formats.graphml_lines, "cypher": text_formats.cypher_lines}[args.format](graph)
+        with open(args.out, "w", encoding="utf-8") if args.out else contextlib.nullcontext(sys.stdout) as out:
+            out.writelines(f"{line}\n" for line in lines)
     elif args.verb == "query":
         print(rpc.call_tool(graph, "query_graph", {"question": args.question, "token_budget": args.budget, "mode": "dfs" if args.dfs else "bfs"}))
     elif args.verb == "path":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +72,43 @@ def graphml_body(graph: PropertyGraph) -> DataFrame:
     return graph.nodes.select(F.lit(0).alias("part"), "ord", nodes.alias("line")).union(graph.links.select(F.lit(1), "ord", links))
 
 
-def to_graphml(graph: PropertyGraph) -> str:
-    """The whole document as a string, for graphs that a single file can hold."""
-    keys = "".join(f'  <key id="{k}" for="{scope}" attr.name="{name}" attr.type="{kind}"/>\n' for k, scope, name, kind in graphml_keys(graph))
-    body = "\n".join(r["line"] for r in graphml_body(graph).orderBy("part", "ord").toLocalIterator())
+def _in_order(df: DataFrame, *order: str) -> Iterator[str]:
+    """The lines of a frame, one partition at a time on the driver."""
+    return (r["line"] for r in df.orderBy(*order).toLocalIterator())
+
+
+def graphml_lines(graph: PropertyGraph) -> Iterator[str]:
+    """The document piece by piece, for a single file."""
     default = "directed" if graph.meta.get("directed") else "undirected"
     space = "http://graphml.graphdrawing.org/xmlns"
-    head = f'<?xml version=\'1.0\' encoding=\'utf-8\'?>\n<graphml xmlns="{space}" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="{space} {space}/1.0/graphml.xsd">\n'
-    return f'{head}{keys}  <graph edgedefault="{default}">\n{body}\n  </graph>\n</graphml>\n'
+    yield "<?xml version='1.0' encoding='utf-8'?>"
+    yield f'<graphml xmlns="{space}" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="{space} {space}/1.0/graphml.xsd">'
+    for k, scope, name, kind in graphml_keys(graph):
+        yield f'  <key id="{k}" for="{scope}" attr.name="{name}" attr.type="{kind}"/>'
+    yield f'  <graph edgedefault="{default}">'
+    yield from _in_order(graphml_body(graph), "part", "ord")
+    yield "  </graph>"
+    yield "</graphml>"
+
+
+def to_graphml(graph: PropertyGraph) -> str:
+    """The whole document as a string, for graphs that the driver can hold."""
+    return "\n".join(graphml_lines(graph)) + "\n"
+
+
+def cypher_lines(graph: PropertyGraph) -> Iterator[str]:
+    """The statements one by one, for a single file."""
+    yield from ("// Cypher import", "")
+    yield from _in_order(cypher_nodes(graph), "ord")
+    yield ""
+    yield from _in_order(cypher_links(graph), "ord")
 
 
 def to_cypher(graph: PropertyGraph) -> str:
-    lines = lambda df: [r["line"] for r in df.orderBy("ord").toLocalIterator()]
-    return "\n".join(["// Cypher import", "", *lines(cypher_nodes(graph)), "", *lines(cypher_links(graph))])
+    return "\n".join(cypher_lines(graph))
+
+
+def save_cypher(graph: PropertyGraph, path: str) -> None:
+    """The statements as a folder of text files in order, written by the executors."""
+    lines = cypher_nodes(graph).select(F.lit(0).alias("part"), "ord", "line").union(cypher_links(graph).select(F.lit(1), "ord", "line"))
+    lines.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("line").write.text(path)

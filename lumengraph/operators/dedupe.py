@@ -31,23 +31,6 @@ def repoint(links: DataFrame, remap: DataFrame) -> DataFrame:
     return links.select(*names)
 
 
-def rewire_stubs_in_file(nodes: DataFrame, links: DataFrame, file_col: str = "file") -> tuple[DataFrame, DataFrame]:
-    """Within each file, sourceless nodes give way to the first sourced node of the same key and another id."""
-    stub = F.coalesce(F.col("source_file"), F.lit("")) == ""
-    key = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("label"), F.lit("")), r"^[()]+|[()]+$", ""), r"^\.+", "")
-    keyed = nodes.where("id is not null").withColumn("_key", key).where("_key <> ''")
-    # rows of one id agree in their key unless the id is reused; the first sourced row of a key is its definition
-    real = keyed.where(~stub).groupBy(file_col, "_key").agg(F.min_by("id", "ord").alias("to_id"))
-    remap = keyed.where(stub).select(file_col, "_key", F.col("id").alias("from_id")).distinct().join(real, [file_col, "_key"]).where("from_id <> to_id").select(file_col, "from_id", "to_id").distinct()
-    gone = remap.select(file_col, F.col("from_id").alias("id"))
-    kept = nodes.join(gone, [file_col, "id"], "left_anti").select(*nodes.columns)
-    names = links.columns
-    for end in ("source", "target"):
-        m = remap.select(file_col, F.col("from_id").alias(end), F.col("to_id").alias("_to"))
-        links = links.join(m, [file_col, end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    return kept, links.select(*names)
-
-
 #: Endings of labels that name files.
 SOURCE_ENDINGS = (".py", ".js", ".ts", ".tsx", ".java", ".go", ".rs")
 

@@ -53,9 +53,19 @@ def write_graph(graph: PropertyGraph, path: str, pretty: bool = False) -> None:
             own = json.loads(r["own"])
             yield (json.loads(r["extra"]) | own) if r["extra"] else own
 
-    doc = meta | {"nodes": list(rows(shaped.nodes, NODE_COLUMNS)), "links": list(rows(shaped.links, LINK_COLUMNS))}
+    line = lambda depth: "\n" + "  " * depth if pretty else ""
+    shown = lambda x, depth: json.dumps(x, ensure_ascii=False, indent=2 if pretty else None).replace("\n", line(depth))
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(doc, f, ensure_ascii=False, indent=2 if pretty else None)
+        f.write("{")
+        for k, v in meta.items():
+            f.write(f"{line(1)}{json.dumps(k)}: {shown(v, 1)},")
+        # lists are written as they come, one partition at a time
+        for key, found in (("nodes", rows(shaped.nodes, NODE_COLUMNS)), ("links", rows(shaped.links, LINK_COLUMNS))):
+            f.write(f'{line(1)}"{key}": [')
+            for i, row in enumerate(found):
+                f.write(("," if i else "") + line(2) + shown(row, 2))
+            f.write(line(1) + ("]," if key == "nodes" else "]"))
+        f.write(line(0) + "}")
 
 
 def save_tables(graph: PropertyGraph, path: str) -> None:
