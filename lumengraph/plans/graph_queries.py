@@ -228,7 +228,13 @@ def communities_synchronous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.synchronous_communities(clubs(spark, sf_dir))
 
 
-@query()
+@query(f"""with {_DIR}, hub as (select greatest(degree, 50) as h from (select degree, row_number() over (order by degree) as r, count(*) over () as n from deg) where r = n * 99 // 100 + 1),
+    adj as (select distinct id, near from (select source as id, target as near from live union all select target, source from live)),
+    one as (select n.id, n.ord from adj join nodes n on n.id = near where adj.id = 'region_1'),
+    two as (select o.ord as first, n.ord, n.id from one o join deg on deg.id = o.id join adj on adj.id = o.id join nodes n on n.id = near, hub where degree < h or o.id = 'nation_3'),
+    walk as (select ord as a, 0 as k, ord as b, id from one union all select first, 1, ord, id from two),
+    met as (select id, min(struct_pack(a := a, k := k, b := b)) as place from walk where id not in ('region_1', 'nation_3') group by id)
+    select rank::bigint as rank, id from (select 0 as rank, 'region_1' as id union all select 1, 'nation_3' union all select 1 + row_number() over (order by place), id from met) where rank < 300""", STAR)
 def dfs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = traverse.expand_depth_first(star(spark, sf_dir), ["region_1", "nation_3"], budget=300)
     return spark.createDataFrame(list(enumerate(nodes)), "rank long, id string")

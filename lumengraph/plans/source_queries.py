@@ -68,7 +68,19 @@ def extracted_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy(F.col("source_file").alias("file")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _last(mark: str) -> str:
+    """Where ``mark`` stands last in ``w``, from 0; -1 without it."""
+    return f"case when contains(w, {mark}) then length(w) - instr(reverse(w), reverse({mark})) + 1 - length({mark}) else -1 end"
+
+
+@query(f"""with recursive d as (select doc_id, coalesce(text, '') as text from documents),
+    cut as (select doc_id, -1 as chunk, 0::bigint as beg, 0::bigint as fin, text, '' as w from d
+        union all select doc_id, chunk + 1, fin, fin + case when fin + 800 >= length(text) then length(text) - fin when p1 > 0 then p1 + 1 when p2 > 0 then p2 + 2 when p3 > 0 then p3 + 1 else 800 end, text, w
+        from (select *, {_last("chr(10) || '#'")} as p1, {_last("chr(10) || chr(10)")} as p2, {_last("chr(10)")} as p3
+            from (select doc_id, chunk, fin, text, substr(text, fin + 1, 800) as w from cut where fin < length(text) or chunk = -1)))
+    select doc_id, chunk::bigint as chunk, substr(text, beg + 1, fin - beg) as text,
+        'L' || (1 + length(substr(text, 1, beg)) - length(replace(substr(text, 1, beg), chr(10), ''))) || '-L' ||
+        (1 + length(substr(text, 1, greatest(fin - 1, beg))) - length(replace(substr(text, 1, greatest(fin - 1, beg)), chr(10), ''))) as source_location from cut where chunk >= 0""")
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 200)
 
