@@ -42,8 +42,8 @@ from .shingles import mix, shingle_sets
 FIRST_TRIES, GROWTH = 4, 64
 #: Members of a block, and members outside that are held against it in one go.
 PER_BLOCK, PER_GO = 1024, 256
-#: Pairs of one class that one copy of its set serves.
-PER_COPY = 256
+#: Pairs of one class that one copy of its set serves, and documents of one class that one copy of its component serves.
+PER_COPY, PER_CLASS = 256, 1024
 #: Words of 64 bits in the bitmap of a set.
 BITMAP = 16
 
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
         signed = stored(signed.withColumn("doc_id", F.col("doc_id").cast(id_type)))
 
     # one class for each distinct set, known by the smallest of its documents
-    classes = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
+    classes = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     classes = stored(classes)
     bands = classes.select("key", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("one"), F.max("key").alias("other")).where("one <> other").select("bucket", "n")
@@ -244,7 +244,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     lows = placed.groupBy("comp").agg(F.min("low").alias("comp_low"))
     known = placed.join(lows, "comp").select("key", "comp", "comp_low")
     known = classes.select("key", "low").join(known, "key", "left").select("key", F.coalesce("comp", "key").alias("component_key"), F.coalesce("comp_low", "low").alias("component_id"))
-    out = signed.select("doc_id", "text_key", "n_shingles", "key").join(known, "key", "left")
+    # a class of many documents has its component copied, so that they part
+    many = classes.where(F.col("n") > PER_CLASS).select("key", F.ceil(F.col("n") / PER_CLASS).cast("int").alias("copies"))
+    copies = F.coalesce("copies", F.lit(1))
+    known = known.join(many, "key", "left").select("key", "component_key", "component_id", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "key").join(many, "key", "left").withColumn("copy", F.pmod(F.xxhash64("doc_id", "text_key"), copies).cast("int"))
+    out = out.join(known, ["key", "copy"], "left")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "text_key", "n_shingles", "component_id", "component_key", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
