@@ -12,8 +12,9 @@ places (document, item, diagonal) where both stand as far apart as in the window
 Only the documents of such places are looked up further: the lists of the window's
 other terms, moved by their offsets, are intersected with them.  A window all of whose
 terms are found is an exact phrase match.  With ``slop``, terms may stand so many words
-away from their place beside the rarest, and a window is a proximity match when the
-second rarest and at least four fifths of all terms are found.
+away from their place beside the rarer one, any two of the three rarest terms are
+intersected, and a window is a proximity match when at least four fifths of all its
+terms are found beside them.
 
 Every join is on document, term and place, so neither a frequent term nor a long
 document meets in one task; terms that are rarest nowhere are only read for the
@@ -94,14 +95,21 @@ def store_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 
 def _windows(words: DataFrame, counts: DataFrame, n_terms: int, width: int, exact: bool) -> DataFrame:
-    """``item_key, i, need, ipos1, term1, ipos2, term2``: each window that can match, with the places of its two rarest terms."""
+    """``item_key, i, need, ipos1, term1, others``: each window that can match, by each of its rarest terms but the last, with those less rare.
+
+    Two of its rarest terms count for exact matches, three for others.
+    """
     need = F.least(F.size("words"), F.lit(width))
     windows = words.select("item_key", need.alias("need"), F.explode(F.sequence(F.lit(0), F.size("words") - need)).alias("i"), "words")
     parts = windows.select("item_key", "need", "i", F.posexplode(F.slice("words", F.col("i") + 1, F.col("need"))).alias("off", "term")).join(_sized(counts, n_terms), "term")
     ranked = parts.groupBy("item_key", "i", "need").agg(F.sort_array(F.collect_list(F.struct("count", "off", "term"))).alias("r"))
     ranked = ranked.where(F.size("r") >= (F.col("need") if exact else F.col("need") - _lacking()))
-    first, second = F.col("r")[0], F.coalesce(F.get("r", F.lit(1)), F.col("r")[0])
-    return ranked.select("item_key", "i", "need", (F.col("i") + first["off"]).alias("ipos1"), first["term"].alias("term1"), (F.col("i") + second["off"]).alias("ipos2"), second["term"].alias("term2"))
+    rare = F.transform(F.slice("r", 1, 2 if exact else 3), lambda x: F.struct((F.col("i") + x["off"]).alias("ipos"), x["term"].alias("term")))
+    ranked = ranked.select("item_key", "i", "need", rare.alias("rare"))
+    ranked = ranked.select("*", F.posexplode(F.slice("rare", F.lit(1), F.greatest(F.size("rare") - 1, F.lit(1)))).alias("n", "one"))
+    # a window with one known term has no other beside it
+    others = F.when(F.size("rare") == 1, F.col("rare")).otherwise(F.slice("rare", F.col("n") + 2, F.lit(3)))
+    return ranked.select("item_key", "i", "need", F.col("one.ipos").alias("ipos1"), F.col("one.term").alias("term1"), others.alias("others"))
 
 
 def _lacking() -> Column:
@@ -127,15 +135,17 @@ def search(index: DataFrame, words: DataFrame, width: int = 10, slop: int | None
     windows = stored(_windows(words, counts, n_terms, width, exact))
     n_windows = windows.count()
 
-    # the lists of the rarest and the second rarest terms, moved to where the item would begin
+    pairs = windows.select("item_key", "ipos1", "term1", F.explode("others").alias("o")).select("item_key", "ipos1", "term1", F.col("o.ipos").alias("ipos2"), F.col("o.term").alias("term2"))
+
+    # the lists of the rarest terms, moved to where the item would begin
     def moved(k: int) -> DataFrame:
-        places = windows.select("item_key", f"ipos{k}", F.col(f"term{k}").alias("term")).distinct()
-        return postings.join(_sized(places, n_windows), "term").select("doc", "text_key", "item_key", f"ipos{k}", (F.col("pos") - F.col(f"ipos{k}")).alias(f"begin{k}"))
+        places = pairs.select("item_key", f"ipos{k}", F.col(f"term{k}").alias("term")).distinct()
+        return postings.join(_sized(places, 2 * n_windows), "term").select("doc", "text_key", "item_key", f"ipos{k}", (F.col("pos") - F.col(f"ipos{k}")).alias(f"begin{k}"))
 
     one = moved(1).withColumn("cell", F.floor(F.col("begin1") / CELL))
     two = moved(2).withColumn("cell", F.explode(_cells(F.col("begin2"), slop)))
     met = one.join(two, ["doc", "text_key", "item_key", "cell"]).where(F.abs(F.col("begin1") - F.col("begin2")) <= slop)
-    met = met.join(_sized(windows.select("item_key", "ipos1", "ipos2").distinct(), n_windows), ["item_key", "ipos1", "ipos2"], "left_semi")
+    met = met.join(_sized(pairs.select("item_key", "ipos1", "ipos2").distinct(), 2 * n_windows), ["item_key", "ipos1", "ipos2"], "left_semi")
     starts = stored(met.select("doc", "text_key", "item_key", "ipos1", "begin1").distinct())
 
     # the lists of all terms around them, in their documents only
@@ -151,11 +161,11 @@ def search(index: DataFrame, words: DataFrame, width: int = 10, slop: int | None
     found = found.groupBy(*starts.columns).agg(F.collect_set("ipos").alias("near"), F.collect_set(F.when(F.col("pos") == F.col("place"), F.col("ipos"))).alias("straight"))
 
     held = lambda places: F.size(F.filter(places, lambda p: (p >= F.col("i")) & (p < F.col("i") + F.col("need"))))
-    judged = found.join(_sized(windows.drop("term1", "term2"), n_windows), ["item_key", "ipos1"]).withColumn("exact", held("straight") == F.col("need"))
+    judged = found.join(_sized(windows.select("item_key", "ipos1", "i", "need", F.col("others.ipos").alias("others")), n_windows), ["item_key", "ipos1"]).withColumn("exact", held("straight") == F.col("need"))
     if exact:
         judged = judged.where("exact")
     else:
-        judged = judged.where((held("near") >= F.col("need") - _lacking()) & F.array_contains("near", F.col("ipos2")))
+        judged = judged.where((held("near") >= F.col("need") - _lacking()) & F.arrays_overlap("near", "others"))
     first = F.col("begin1") + F.col("i")
     return judged.select("doc", "text_key", "item_key", first.alias("first"), (first + F.col("need") - 1).alias("last"), "exact").distinct()
 

@@ -99,10 +99,11 @@ ORACLE_SQL |= {
         part as (select bk, item_id, k, i, unnest(win) as term, unnest(range(0, k)) as off from win),
         cnt as (select term, count(*) as n from dp where term in (select term from part) group by term),
         ranked as (select *, row_number() over (partition by bk, i order by n, off) as rn, count(*) over (partition by bk, i) as known from part join cnt using (term)),
-        anchor as (select x.bk, x.item_id, x.k, x.i, x.term, x.off, y.off as off2 from ranked x join ranked y using (bk, i) where x.rn = 1 and y.rn = least(2, x.known) and x.known >= x.k - x.k // 5),
-        cand as (select distinct rid, bk, item_id, k, i, off2, pos - off as start from dp join anchor using (term)),
+        anchor as (select x.bk, x.item_id, x.k, x.i, x.term, x.off, list(y.off) as offs from ranked x join ranked y using (bk, i)
+            where (x.known = 1 or x.rn < y.rn) and y.rn <= 3 and x.known >= x.k - x.k // 5 group by all),
+        cand as (select distinct rid, bk, item_id, k, i, offs, pos - off as start from dp join anchor using (term)),
         near as (select c.rid, c.item_id from cand c join part p on p.bk = c.bk and p.i = c.i join dp on dp.rid = c.rid and dp.term = p.term and dp.pos between c.start + p.off - 3 and c.start + p.off + 3
-            group by c.rid, c.bk, c.item_id, c.k, c.i, c.start, c.off2 having count(distinct p.off) >= c.k - c.k // 5 and bool_or(p.off = c.off2)),
+            group by c.rid, c.bk, c.item_id, c.k, c.i, c.start, c.offs having count(distinct p.off) >= c.k - c.k // 5 and bool_or(list_contains(c.offs, p.off))),
         nears as (select rid, count(distinct item_id) as n_near from near group by rid)
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated, coalesce(n_near, 0)::bigint as n_near
         from d left join spots using (rid) left join its using (rid) left join nears using (rid)""",

@@ -261,12 +261,14 @@ def brute_near(docs, items, width=10, slop=3):
             ranked = sorted((counts[t], off, t) for off, t in enumerate(window) if counts[t])
             if len(ranked) < least:
                 continue
-            (_, off, rarest), second = ranked[0], ranked[min(1, len(ranked) - 1)][1]
-            for at, out in zip(places, found):
-                for p in at.get(rarest, ()):
-                    near = {k for k, t in enumerate(window) if any(abs(q - (p - off + k)) <= slop for q in at.get(t, ()))}
-                    if len(near) >= least and second in near:
-                        out.add(key)
+            rare = ranked[:3]
+            for n, (_, off, term) in enumerate(rare[: max(len(rare) - 1, 1)]):
+                others = {o for _, o, _ in rare[n + 1 :] or rare}
+                for at, out in zip(places, found):
+                    for p in at.get(term, ()):
+                        near = {k for k, t in enumerate(window) if any(abs(q - (p - off + k)) <= slop for q in at.get(t, ()))}
+                        if len(near) >= least and near & others:
+                            out.add(key)
     return [len(f) for f in found]
 
 
