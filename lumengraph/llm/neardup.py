@@ -188,13 +188,15 @@ def _settled(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
         found = stored(_partners(open_, sets, percent, tries))
         pairs = found.select("x", F.explode("found").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        done = pairs.isEmpty() and found.where("more").isEmpty()
+        # without more, these are all possible partners: what they link only brings components together
+        last = found.where("more").isEmpty()
         dropped(named, found)
-        if done:
+        if not (last and pairs.isEmpty()):
+            linked = _linked(pairs, sets, percent)
+            labels = extended(labels, linked)
+            dropped(linked)
+        if last:
             return labels
-        linked = _linked(pairs, sets, percent)
-        labels = extended(labels, linked)
-        dropped(linked)
         tried = pairs if tried is None else tried.union(pairs)
         tries *= GROWTH
 
