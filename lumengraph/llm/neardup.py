@@ -10,9 +10,9 @@ Links are confirmed on the full sets.  In a bucket, members are compared with on
 them, its centre; those that it links become one component.  Buckets whose members
 all lie in one component are done.  In the others, what is left are members outside
 the centre's component.  They are held against all members of their buckets in other
-components, block by block, by a bitmap of each set: two sets differ in at least as
-many shingles as their bitmaps in bits, so that most pairs below the threshold are ruled
-out exactly and without their sets.  Of those that may be linked, rounds compare the
+components, block by block, by a bitmap of each set, whose length follows the set's:
+two sets differ in at least as many shingles as their bitmaps in bits, so that most pairs
+below the threshold are ruled out exactly and without their sets.  Of those that may be linked, rounds compare the
 nearest partners of each member first, eight times as many in each round, and
 contract what is linked; they end when no member outside has a possible partner in
 another component that has not been compared.  No candidate is dropped, and no pairs
@@ -44,8 +44,8 @@ FIRST_TRIES, GROWTH = 4, 64
 PER_BLOCK, PER_GO = 1024, 256
 #: Pairs of one class that one copy of its set serves, and documents of one class that one copy of its component serves.
 PER_COPY, PER_CLASS = 256, 1024
-#: Words of 64 bits in the bitmap of a set.
-BITMAP = 16
+#: Bits for each shingle in the bitmap of a set (then up to a power of two); bits of a bitmap at least and at most.
+PER_SHINGLE, FEWEST, MOST = 2, 64, 1 << 16
 
 
 def signature(shingles: np.ndarray, permutations: int) -> np.ndarray:
@@ -81,10 +81,18 @@ def _sign(width: int, permutations: int, rows: int):
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """One bit for each shingle, several may share it."""
-    bits = np.zeros(BITMAP * 64, np.uint8)
-    bits[shingles % np.uint64(BITMAP * 64)] = 1
-    return np.packbits(bits).tobytes()
+    """Whether an odd number of shingles falls on each bit: what two sets share leaves no trace between their bitmaps."""
+    width = min(MOST, max(FEWEST, 1 << (PER_SHINGLE * len(shingles) - 1).bit_length()))
+    counts = np.bincount((shingles % np.uint64(width)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps as they would be with ``words`` words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def _sets(width: int):
@@ -108,19 +116,26 @@ def _compare(percent: int):
     return scan
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
-    """``pairs`` with the set of the class in column ``end``; a class of many pairs has its set copied, so that they part."""
-    many = pairs.groupBy(end).agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies")).where("copies > 1")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs ``a, b`` of classes those whose full sets share at least ``percent`` of their union; ``pairs`` is a stored table.
+
+    A class of many pairs has its set copied, so that they part.  Both ends read the same copies: sets are shuffled once.
+    """
+    many = _ends(pairs).groupBy("key").agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies")).where("copies > 1")
+    many = stored(many)
     copies = F.coalesce("copies", F.lit(1))
-    dealt = pairs.join(many, end, "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies).cast("int")).drop("copies")
-    held = sets.withColumnRenamed("key", end).join(many, end, "left").select(end, F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.col("shingles").alias(name))
-    return dealt.join(held, [end, "copy"]).drop("copy")
+    held = sets.select("key", "shingles").join(many, "key", "left").select("key", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "shingles")
+    dealt = pairs
+    for end in ("a", "b"):
+        dealt = dealt.join(many.withColumnRenamed("key", end), end, "left").withColumn(f"{end}_copy", F.pmod(F.xxhash64("a", "b"), copies).cast("int")).drop("copies")
+    joined = dealt.join(held.toDF("a", "a_copy", "x"), ["a", "a_copy"]).join(held.toDF("b", "b_copy", "y"), ["b", "b_copy"])
+    out = stored(joined.select("a", "b", "x", "y").mapInPandas(_compare(percent), "a binary, b binary"))
+    dropped(many)
+    return out
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs ``a, b`` of classes those whose full sets share at least ``percent`` of their union; ``pairs`` is a stored table."""
-    joined = _with_sets(_with_sets(pairs, sets, "a", "x"), sets, "b", "y").select("a", "b", "x", "y")
-    return stored(joined.mapInPandas(_compare(percent), "a binary, b binary"))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
 
 
 def _named(keys: DataFrame, labels: DataFrame, key: str, comp: str) -> DataFrame:
@@ -129,8 +144,36 @@ def _named(keys: DataFrame, labels: DataFrame, key: str, comp: str) -> DataFrame
     return named.withColumn(comp, F.coalesce(comp, key))
 
 
-#: A member in one binary value: its class, component, size and bitmap.
-_RECORD = np.dtype([("key", "V16"), ("comp", "V16"), ("size", ">i4"), ("bits", "<u8", BITMAP)])
+#: A member in one binary value: its class, component and size, then its bitmap.
+_HEAD = np.dtype([("key", "V16"), ("comp", "V16"), ("size", ">i4")])
+
+
+def _by_width(records: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of the records with bitmaps of one length, and these bitmaps."""
+    lengths = np.array([len(r) for r in records])
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, np.frombuffer(b"".join(records[k][_HEAD.itemsize :] for k in at), np.uint64).reshape(len(at), -1)
+
+
+def _apart(xs: list[bytes], ys: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair: whether it may be linked and lies in two components; shingles that only one has, at least; both sizes."""
+    x, y = (np.frombuffer(b"".join(r[: _HEAD.itemsize] for r in rows), _HEAD) for rows in (xs, ys))
+    # components as numbers
+    comp = np.unique(np.concatenate((x["comp"], y["comp"])).view("S16"), return_inverse=True)[1]
+    sizes, others = x["size"].astype(np.int64)[:, None], y["size"].astype(np.int64)
+    apart, both = np.abs(sizes - others), sizes + others
+    near = lambda: apart * (100 + percent) <= both * (100 - percent)
+    able, groups = (comp[: len(x), None] != comp[len(x) :]) & near(), list(_by_width(ys))
+    for i, bits in _by_width(xs):
+        for j, held in groups:
+            some = able[np.ix_(i, j)]
+            if some.any():
+                words = min(bits.shape[1], held.shape[1])
+                v = _folded(held, words)
+                for k, u, m in zip(i, _folded(bits, words), some):
+                    apart[k, j[m]] = np.maximum(apart[k, j[m]], np.bitwise_count(u ^ v[m]).sum(axis=1, dtype=np.int64))
+    return able & near(), apart, both
 
 
 def _near(percent: int, tries: int):
@@ -138,12 +181,7 @@ def _near(percent: int, tries: int):
         for b in batches:
             out = []
             for xs, ys in zip(b["xs"], b["ys"]):
-                x, y = np.frombuffer(b"".join(xs), _RECORD), np.frombuffer(b"".join(ys), _RECORD)
-                # components as numbers
-                comp = np.unique(np.concatenate((x["comp"], y["comp"])).view("S16"), return_inverse=True)[1]
-                both = x["size"].astype(np.int64)[:, None] + y["size"].astype(np.int64)
-                apart = np.stack([np.bitwise_count(v ^ y["bits"]).sum(axis=1, dtype=np.int64) for v in x["bits"]])
-                able = (comp[: len(x), None] != comp[len(x) :]) & (apart * (100 + percent) <= both * (100 - percent))
+                able, apart, both = _apart(xs, ys, percent)
                 share = np.where(able, apart / both, 2.0)
                 for i in np.flatnonzero(able.any(axis=1)):
                     n = int(able[i].sum())
@@ -192,9 +230,10 @@ def _settled(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
         last = found.where("more").isEmpty()
         dropped(named, found)
         if not (last and pairs.isEmpty()):
-            linked = _linked(pairs, sets, percent)
+            needed = stored(sets.select("key", "shingles").join(_ends(pairs).distinct(), "key", "left_semi"))
+            linked = _linked(pairs, needed, percent)
             labels = extended(labels, linked)
-            dropped(linked)
+            dropped(needed, linked)
         if last:
             return labels
         tried = pairs if tried is None else tried.union(pairs)
@@ -230,11 +269,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     centres = members.join(met, "key").groupBy("bucket").agg(F.max_by("key", F.struct("met", "key")).alias("centre"))
     members = stored(members.select("bucket", "key").join(centres, "bucket"))
 
+    # no id has the name of a null one
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("name")
     wanted = members.select("key").distinct().join(classes.select("key", "one"), "key")
-    wanted = wanted.select("key", F.col("one.doc_id").alias("w_id"), F.col("one.text_key").alias("w_text"))
-    texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_text"))).select("key", "text")
+    wanted = wanted.select("key", name("one.doc_id"), F.col("one.text_key").alias("text_key"))
+    # the join has brought rows that are alike together already
+    texts = source.select(name("doc_id"), "text_key", "text").join(wanted, ["name", "text_key"]).dropDuplicates(["name", "text_key"]).select("key", "text")
     with small_batches(docs.sparkSession):
-        sets = stored(texts.mapInPandas(_sets(width), "key binary, shingles array<long>, bits binary").dropDuplicates(["key"]))
+        sets = stored(texts.mapInPandas(_sets(width), "key binary, shingles array<long>, bits binary"))
 
     stars = stored(members.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
     linked = _linked(stars, sets, percent)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,6 +367,32 @@ def test_near_misses_of_one_text(spark):
     assert got == Counter(brute_components(rows, 2))
 
 
+def test_bitmaps_rule_out_large_sets_and_no_link():
+    """Sets of every size: all links stay possible, and of the others those of 0.7 and less hardly ever do."""
+    rng = np.random.default_rng(5)
+
+    def near(x, y):
+        record = lambda s, name: name * 16 + name * 16 + len(s).to_bytes(4, "big") + neardup._bitmap(np.sort(s))
+        batch = pd.DataFrame({"xs": [[record(x, b"x")]], "ys": [[record(y, b"y")]]})
+        return sum(len(b) for b in neardup._near(80, 4)([batch]))
+
+    for n in (1, 5, 9, 100, 480, 500, 2000, 2100, 9000):
+        pool = rng.integers(0, 2**64, 2 * n, np.uint64, endpoint=False)
+        own = lambda k: (pool[:n], np.concatenate([pool[k:n], pool[n : n + k]]))
+        assert near(*own(n // 9)) and near(pool[:n], pool[: n + n // 4]) and near(pool[:n], pool[:n])
+        if n >= 480:
+            assert not near(*own(3 * n // 17 + 1))  # 0.7
+            assert not near(pool[:n], pool[: n + n // 4 + 1])
+
+
+def test_classes_of_many_pairs_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PER_COPY", 2)
+    base = ["w%d" % i for i in range(150)]
+    rows = [(i + 1, " ".join(base[:i] + ["e%d" % i] + base[i + 1 :])) for i in range(60)] + [(99, "else entirely")]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, rows), 2).collect())
+    assert got == Counter(brute_components(rows, 2))
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join("w%d" % i for i in range(80))
     rows = [(3, text), (2, text + " more"), (2, text + " more"), (None, text), (9, None), (9, None), (None, ""), (4, "else entirely")]
