@@ -145,6 +145,16 @@ def test_depth_first_walk_takes_hubs_into_account(spark):
     assert nodes[0] == "n1" and len(nodes) <= 10 and all(a != b for a, b in edges)
 
 
+def test_depth_first_walk_goes_on_with_the_next_seed(spark):
+    """Where hubs end the first seed's walk early, the budget is filled from the second; also where the two are not linked."""
+    tree = {"r1": ["h1", "h2"], "r2": ["h3", "n4"], "h1": [f"a{k}" for k in range(60)], "h2": [f"b{k}" for k in range(60)], "h3": [f"c{k}" for k in range(60)], "n4": ["d0", "d1"], "c1": ["e0", "e1"], "d1": ["f0"]}
+    names = list(dict.fromkeys(["r1", "r2", *(x for near in tree.values() for x in near)]))
+    g = graph(spark, [(k, x, x, "code", "f.py", 0) for k, x in enumerate(names)], [(k, s, t, "uses", "EXTRACTED", 1.0) for k, (s, t) in enumerate((s, t) for s, near in tree.items() for t in near)])
+    # r1: its hubs are not passed; h3 is a seed and passed in any case
+    nodes, _ = traverse.expand_depth_first(g, ["r1", "h3"], budget=69)
+    assert nodes == ["r1", "h3", "h1", "h2", "r2", "n4", "c0", "c1", "e0", "e1", *(f"c{k}" for k in range(2, 60))]
+
+
 def test_god_nodes_leave_files_and_stubs_out(spark):
     nodes = [(1, "f", "f.py", "code", "a/f.py", 0), (2, "m", ".m()", "code", "a/f.py", 0), (3, "c", "C", "code", "a/f.py", 0), (4, "s", "S", "code", "", 0), (5, "str", "str", "code", "a/f.py", 0), (6, "k", "name", "code", "p.json", 0)]
     links = [(k, "c", t, "r", None, 1.0) for k, t in enumerate(["f", "m", "s", "str", "k"])]
